@@ -80,7 +80,10 @@ def compress(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def encoder(cols: Sequence[str], output: str = "features") -> Pipeline:
-    """One-hot encoding of text columns; unknown and missing give all zeros."""
+    """One-hot encoding of text columns; unknown and missing give all zeros.
+
+    The indexer keeps both as one more category, and that last one is dropped.
+    """
     index = StringIndexer(
         inputCols=list(cols),
         outputCols=[f"{c}_index" for c in cols],
@@ -90,7 +93,6 @@ def encoder(cols: Sequence[str], output: str = "features") -> Pipeline:
     hot = OneHotEncoder(
         inputCols=[f"{c}_index" for c in cols],
         outputCols=[f"{c}_hot" for c in cols],
-        handleInvalid="keep",
         dropLast=True,
     )
     join = VectorAssembler(inputCols=[f"{c}_hot" for c in cols], outputCol=output)
