@@ -105,11 +105,13 @@ def on_all_days(daily: DataFrame) -> DataFrame:
     """Give every column key a row on each day that occurs in the table, 0 if absent.
 
     The list of days is bounded by the calendar, so it travels as one array in
-    a scalar subquery.
+    a scalar subquery. The filters hold for every row; they make both uses ask
+    for the counts, so that Spark counts once and reuses that shuffle.
     """
-    days = daily.agg(F.sort_array(F.collect_set("row_key")).alias("days")).scalar()
+    counted = daily.filter(F.col("n") > 0)
+    days = counted.agg(F.sort_array(F.collect_set("row_key")).alias("days")).scalar()
     grid = (
-        daily.select("col_key").distinct().select("col_key", F.explode(days).alias("row_key"))
+        counted.select("col_key").distinct().select("col_key", F.explode(days).alias("row_key"))
     )
     return grid.join(daily, ["row_key", "col_key"], "left").fillna(0, ["n"])
 

@@ -12,11 +12,13 @@ from blotter.operators.counts import count_by
 def location_counts(df: DataFrame, location: str) -> DataFrame:
     """(location, lat, long, n) per distinct location text.
 
-    Text is counted first and parsed once per distinct value.
+    Text is counted first and parsed once per distinct value; text that does
+    not parse is left out. The condition on the count keeps Spark from moving
+    the parsing in front of the aggregation.
     """
     counts = count_by(df.filter(F.col(location).isNotNull()), location)
     return (
-        counts.withColumn("_point", parse_point(location))
+        counts.withColumn("_point", F.when(F.col("n") > 0, parse_point(location)))
         .select(location, "_point.lat", "_point.long", "n")
         .filter(F.col("lat").isNotNull())
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +27,10 @@ def running_totals(
     points = rows.groupBy(order).agg(*[c.alias(n) for n, c in sums.items()])
     fractions = [i / slices for i in range(1, slices)]
     cuts = rows.agg(F.percentile_approx(order, fractions, 50 * slices).alias("cuts")).scalar()
-    placed = points.withColumn("_cuts", cuts).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(order)))
-    )
-    placed = placed.drop("_cuts")
+    # Never null, so that the join below adds no null check, which would move
+    # the search for the slice down to the single rows.
+    place = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(order))), F.lit(0))
+    placed = points.withColumn("_cuts", cuts).withColumn("_slice", place).drop("_cuts")
 
     by_slice = F.desc("_slice") if descending else F.asc("_slice")
     by_value = F.desc(order) if descending else F.asc(order)
@@ -67,80 +68,66 @@ def to_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(entries)).filter(F.col("value").isNotNull())
 
 
+def _bracket_ends(size: int, accuracy: int) -> list[Column]:
+    small = F.col("_n") <= accuracy
+    return [
+        F.when(small, F.array_repeat(extreme, size))
+        .otherwise(F.slice("_ends", start, size))
+        .alias(name)
+        for name, extreme, start in (("_lo", "_min", 1), ("_hi", "_max", size + 1))
+    ]
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
     """(column, prob, value): quantiles with linear interpolation.
 
     A first pass takes approximate quantiles a little below and above each
-    wanted one. A second pass counts what lies below that bracket and, value by
-    value, what lies in it, so only the bracket is shuffled and sorted: about
-    6 / accuracy of the rows. Tables with fewer rows than `accuracy` are their
-    own bracket.
+    wanted one. A second pass counts values inside these brackets one by one
+    and everything between two brackets as one entry, so only the brackets are
+    shuffled and sorted: about 6 / accuracy of the rows per quantile. Tables
+    with fewer rows than `accuracy` are their own bracket.
     """
+    probs = sorted(float(p) for p in probs)
     margin = 3.0 / accuracy
-    ends = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-margin, margin)]
+    wanted = [min(max(p + shift, 0.0), 1.0) for shift in (-margin, margin) for p in probs]
     long = to_long(df, cols)
+    # One row per column: the schema bounds what is broadcast.
     brackets = (
         long.groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.min("value").alias("_min"),
             F.max("value").alias("_max"),
-            F.percentile_approx("value", ends, accuracy).alias("_ends"),
-        )
-        .withColumn("_small", F.col("_n") <= accuracy)
-        .select(
-            "column",
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(p)).alias("prob"),
-                            ((F.col("_n") - 1) * F.lit(float(p))).alias("_rank"),
-                            F.when(F.col("_small"), F.col("_min"))
-                            .otherwise(F.col("_ends")[2 * i])
-                            .alias("_lo"),
-                            F.when(F.col("_small"), F.col("_max"))
-                            .otherwise(F.col("_ends")[2 * i + 1])
-                            .alias("_hi"),
-                        )
-                        for i, p in enumerate(probs)
-                    ]
-                )
-            ),
+            F.percentile_approx("value", wanted, accuracy).alias("_ends"),
         )
+        .select("column", "_n", *_bracket_ends(len(probs), accuracy))
     )
-    # One row per column and probability: the schema bounds what is broadcast.
-    bracketed = (
+    value, each = F.col("value"), range(len(probs))
+    passed = sum((F.when(value > F.col("_hi")[j], 1).otherwise(0) for j in each), F.lit(0))
+    inside = reduce(Column.__or__, [value.between(F.col("_lo")[j], F.col("_hi")[j]) for j in each])
+    counted = (
         long.join(F.broadcast(brackets), "column")
-        .filter(F.col("value") <= F.col("_hi"))
-        .groupBy(
-            "column",
-            "prob",
-            "_rank",
-            F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("value"),
-        )
+        .groupBy("column", "_n", passed.alias("_zone"), F.when(inside, value).alias("value"))
         .agg(F.count(F.lit(1)).alias("_k"))
     )
     upto = F.sum("_k").over(
-        Window.partitionBy("column", "prob")
-        .orderBy(F.asc_nulls_first("value"))
+        Window.partitionBy("column")
+        .orderBy("_zone", F.asc_nulls_first("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    below, above = F.floor("_rank"), F.ceil("_rank")
+
+    def quantile(p: float) -> Column:
+        rank = (F.col("_n") - 1) * F.lit(p)
+        a = F.min(F.when(F.col("_upto") > F.floor(rank), value))
+        b = F.min(F.when(F.col("_upto") > F.ceil(rank), value))
+        part = F.first(rank - F.floor(rank))
+        return F.struct(F.lit(p).alias("prob"), (a + (b - a) * part).alias("value"))
+
     return (
-        bracketed.withColumn("_upto", upto)
-        .groupBy("column", "prob", "_rank")
-        .agg(
-            F.min(F.when(F.col("_upto") > below, F.col("value"))).alias("_a"),
-            F.min(F.when(F.col("_upto") > above, F.col("value"))).alias("_b"),
-        )
-        .select(
-            "column",
-            "prob",
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - below)).alias(
-                "value"
-            ),
-        )
+        counted.withColumn("_upto", upto)
+        .groupBy("column")
+        .agg(F.array(*[quantile(p) for p in probs]).alias("_quantiles"))
+        .select("column", F.inline("_quantiles"))
     )

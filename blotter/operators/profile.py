@@ -186,7 +186,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair, in one aggregation.
 
     Numeric and boolean columns by default; a pair uses the rows where both
-    are present.
+    are present. It is null when one of them has no spread there, for which
+    Spark's own `corr` raises a division by zero.
     """
     cols = list(cols) if cols else numeric_columns(df, booleans=True)
     kinds = dict(df.dtypes)
@@ -195,12 +196,16 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         column = F.col(f"`{c}`")
         return (column.cast("int") if kinds[c] == "boolean" else column).cast("double")
 
+    def pearson(a, b):
+        spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
+        return F.try_divide(F.regr_sxy(a, b), spread)
+
     def entry(a: str, b: str, value: str):
         return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(value).alias("r"))
 
     pairs = {(a, b): f"r_{i}" for i, (a, b) in enumerate(combinations(cols, 2))}
     own = {c: f"d_{i}" for i, c in enumerate(cols)}
-    stats = [F.corr(number(a), number(b)).alias(name) for (a, b), name in pairs.items()]
+    stats = [pearson(number(a), number(b)).alias(name) for (a, b), name in pairs.items()]
     # A column correlates with itself at 1, or not at all when it has no spread.
     stats += [
         F.when(F.min(number(c)) < F.max(number(c)), F.lit(1.0)).alias(name)
