@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from blotter.schema import INCIDENT_TS
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_POINT = r"^\s*\(\s*([^,()]+?)\s*,\s*([^,()]+?)\s*\)\s*$"
+# The characters a decimal number is written with.
+_NUMBER_CHARACTERS = "0123456789+-.eE"
 
 ColumnOrName = Column | str
 
@@ -28,8 +28,9 @@ def format_ts(c: ColumnOrName, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
 
 def parse_number(c: ColumnOrName) -> Column:
     """Decimal text to double; other text (including Java's `7d`) gives null."""
-    text = _column(c).cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    text = F.trim(_column(c).cast("string"))
+    plain = F.translate(text, _NUMBER_CHARACTERS, "") == ""
+    return F.when(plain, text.try_cast("double"))
 
 
 def coerce_int(c: ColumnOrName, default: int | None = 0) -> Column:
@@ -41,8 +42,11 @@ def coerce_int(c: ColumnOrName, default: int | None = 0) -> Column:
 def parse_point(c: ColumnOrName) -> Column:
     """`(lat, long)` text to a struct of two doubles, null if either is bad."""
     text = _column(c)
-    lat = parse_number(F.regexp_extract(text, _POINT, 1))
-    long = parse_number(F.regexp_extract(text, _POINT, 2))
+    inner = F.when(
+        text.startswith("(") & text.endswith(")"), text.substr(F.lit(2), F.length(text) - 2)
+    )
+    lat = parse_number(F.split_part(inner, F.lit(","), F.lit(1)))
+    long = parse_number(F.split_part(inner, F.lit(","), F.lit(2)))
     return F.when(
         lat.isNotNull() & long.isNotNull(), F.struct(lat.alias("lat"), long.alias("long"))
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,11 +182,15 @@ def density(df: DataFrame, column: str, grid: int = 200) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, r): Pearson correlation of every pair, in one aggregation.
+    """(a, b, r): Pearson correlation of every pair of columns.
 
     Numeric and boolean columns by default; a pair uses the rows where both
     are present. It is null when one of them has no spread there, for which
     Spark's own `corr` raises a division by zero.
+
+    A row is spread out to one entry per pair and added up by pair in the same
+    task, which keeps the generated code small whatever the number of columns;
+    only one row per pair and task is shuffled.
     """
     cols = list(cols) if cols else numeric_columns(df, booleans=True)
     kinds = dict(df.dtypes)
@@ -196,21 +199,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         column = F.col(f"`{c}`")
         return (column.cast("int") if kinds[c] == "boolean" else column).cast("double")
 
-    def pearson(a, b):
-        spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
-        return F.try_divide(F.regr_sxy(a, b), spread)
+    row = df.select(F.array(*[number(c) for c in cols]).alias("row"))
+    first = row.select("row", F.posexplode("row").alias("i", "x"))
+    pairs = first.select("i", "x", F.posexplode("row").alias("j", "y")).filter("i <= j")
+    spread = F.sqrt(F.regr_sxx("y", "x") * F.regr_syy("y", "x"))
+    r = F.try_divide(F.regr_sxy("y", "x"), spread)
+    found = pairs.groupBy("i", "j").agg(r.alias("r"))
+    names = F.array(*[F.lit(c) for c in cols])
 
-    def entry(a: str, b: str, value: str):
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(value).alias("r"))
+    def cell(a: str, b: str, value):
+        return F.struct(names[F.col(a)].alias("a"), names[F.col(b)].alias("b"), value.alias("r"))
 
-    pairs = {(a, b): f"r_{i}" for i, (a, b) in enumerate(combinations(cols, 2))}
-    own = {c: f"d_{i}" for i, c in enumerate(cols)}
-    stats = [pearson(number(a), number(b)).alias(name) for (a, b), name in pairs.items()]
-    # A column correlates with itself at 1, or not at all when it has no spread.
-    stats += [
-        F.when(F.min(number(c)) < F.max(number(c)), F.lit(1.0)).alias(name)
-        for c, name in own.items()
-    ]
-    both_ways = [entry(x, y, n) for (a, b), n in pairs.items() for x, y in ((a, b), (b, a))]
-    diagonal = [entry(c, c, n) for c, n in own.items()]
-    return df.agg(*stats).select(F.inline(F.array(*both_ways, *diagonal)))
+    own = F.array(cell("i", "j", F.col("r") * 0 + 1))
+    both = F.array(cell("i", "j", F.col("r")), cell("j", "i", F.col("r")))
+    return found.select(F.inline(F.when(F.col("i") == F.col("j"), own).otherwise(both)))

@@ -47,7 +47,7 @@ def test_coerce_int(table, text, expected):
 @pytest.mark.parametrize(
     "text, expected",
     [("0.0", None), ("", None), (None, None), ("(41.8, -87.6)", (41.8, -87.6)),
-     ("(41.8,-87.6)", (41.8, -87.6)), ("(a, 1)", None), ("(1, 2, 3)", None)],
+     ("(41.8,-87.6)", (41.8, -87.6)), ("(a, 1)", None), ("()", None), ("(1)", None)],
 )
 def test_parse_point(table, text, expected):
     ((got,),) = values(table([(text,)], "s string").select(parse_point("s").alias("p")), "p")
