@@ -199,7 +199,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         column = F.col(f"`{c}`")
         return (column.cast("int") if kinds[c] == "boolean" else column).cast("double")
 
-    row = df.select(F.array(*[number(c) for c in cols]).alias("row"))
+    # NaN is missing too. Doing this in `transform` also keeps the expressions of
+    # `df` and the loops over the pairs in separate, smaller compiled stages.
+    values = F.array(*[number(c) for c in cols])
+    row = df.select(F.transform(values, lambda x: F.when(~F.isnan(x), x)).alias("row"))
     first = row.select("row", F.posexplode("row").alias("i", "x"))
     pairs = first.select("i", "x", F.posexplode("row").alias("j", "y")).filter("i <= j")
     spread = F.sqrt(F.regr_sxx("y", "x") * F.regr_syy("y", "x"))
