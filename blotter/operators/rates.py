@@ -66,19 +66,26 @@ def flag_trend(
 
 
 def outer_counts(
-    df: DataFrame, group: str, flag: str, a: object = "true", b: object = "false"
+    df: DataFrame,
+    group: str,
+    flag: str,
+    a: object = "true",
+    b: object = "false",
+    weight: str | None = None,
 ) -> DataFrame:
     """(group, n_a, n_b, pct_a) for every group that has either flag value.
 
     Same rows as an outer join of the two filtered counts with nulls set to 0,
-    from one scan and one shuffle.
+    from one scan and one shuffle. With `weight`, rows are counts themselves.
     """
+    size = F.lit(1).cast("long") if weight is None else F.col(weight)
+
+    def total(value: object, name: str) -> Column:
+        return F.sum(F.when(F.col(flag) == F.lit(value), size).otherwise(0)).alias(name)
+
     return (
         df.filter(F.col(flag).isin(a, b))
         .groupBy(group)
-        .agg(
-            F.count_if(F.col(flag) == F.lit(a)).alias("n_a"),
-            F.count_if(F.col(flag) == F.lit(b)).alias("n_b"),
-        )
+        .agg(total(a, "n_a"), total(b, "n_b"))
         .withColumn("pct_a", pct(F.col("n_a"), F.col("n_a") + F.col("n_b")))
     )

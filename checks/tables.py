@@ -284,12 +284,17 @@ def area_lookup_join(t: Tables) -> DataFrame:
     "WHERE o_orderstatus IN ('F', 'O') GROUP BY n_name"
 )
 def area_flag_rates(t: Tables) -> DataFrame:
+    # Orders are counted per customer first, so the joins see counts instead of rows.
+    counts = op.count_by(
+        t.orders.filter(F.col("o_orderstatus").isin("F", "O")), "o_custkey", "o_orderstatus"
+    )
     joined = (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        counts.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("n_name", "o_orderstatus")
+        .select("n_name", "o_orderstatus", "n")
     )
-    return rounded(op.outer_counts(joined, "n_name", "o_orderstatus", "F", "O"), "pct_a")
+    rates = op.outer_counts(joined, "n_name", "o_orderstatus", "F", "O", weight="n")
+    return rounded(rates, "pct_a")
 
 
 # ---- top items per group -----------------------------------------------------------------
