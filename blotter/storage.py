@@ -35,5 +35,8 @@ def materialize(df: DataFrame) -> DataFrame:
     Used where an iterative fit would otherwise rescan its source on every
     pass; the copy survives the loss of executors.
     """
-    shared_dir(df.sparkSession)
+    folder = shared_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
