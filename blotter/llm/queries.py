@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing the operator modules registers them."""
 
-from blotter.llm import packing, pieces, quality, secrets  # noqa: F401
+from blotter.llm import lines, packing, pieces, quality, secrets  # noqa: F401
 from blotter.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
