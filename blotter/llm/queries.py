@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing the operator modules registers them."""
 
-from blotter.llm import language, lines, packing, pages, pieces, quality, secrets, topk  # noqa: F401
+from blotter.llm import language, lines, packing, pages, pieces, quality, secrets, topk, toxicity  # noqa: F401
 from blotter.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

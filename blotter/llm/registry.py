@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm.common import small_batches
+from blotter.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ def query(sql: str | None = None):
 
     def add(run: Callable[[SparkSession, str], DataFrame]):
         def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-            small_batches(spark)
+            prepare(spark)
             return run(spark, sf_dir)
 
         QUERIES[run.__name__] = bounded
