@@ -149,22 +149,14 @@ def identify_languages(
     sums = {l: F.sum(f"_soft_{l}") for l in languages}
 
     # At most two more declared values than languages.
-    pairs = {
-        r["_declared"]: [r[l] for l in languages]
-        for r in seen.groupBy("_declared").agg(*(s.alias(l) for l, s in sums.items())).collect()
-    }
-    totals = [sum(row[i] for row in pairs.values()) for i in range(len(languages))]
     kinds = [*languages, "other", "none"]
+    pairs = np.zeros((len(kinds), len(languages)))
+    for row in seen.groupBy("_declared").agg(*(s.alias(l) for l, s in sums.items())).collect():
+        pairs[kinds.index(row["_declared"])] = [row[l] for l in languages]
+    totals = pairs.sum(0)
+    said = dict(zip(kinds, np.log((pairs + 1.0) / (totals + len(kinds)))))
+    everything = (totals + 1.0) / (totals.sum() + len(languages))
 
-    def declared_log(i: int):
-        said = F.lit(0.0)
-        for kind in kinds:
-            n = pairs.get(kind, [0.0] * len(languages))[i]
-            share = float(np.log((n + 1.0) / (totals[i] + len(kinds))))
-            said = F.when(F.col("_declared") == kind, share).otherwise(said)
-        return said
-
-    everything = [(t + 1.0) / (sum(totals) + len(languages)) for t in totals]
     hosts = seen.groupBy("_host", "_suffix").agg(*(s.alias(f"_h_{l}") for l, s in sums.items()))
     suffixes = hosts.groupBy("_suffix").agg(*(F.sum(f"_h_{l}").alias(f"_s_{l}") for l in languages))
     priors = hosts.join(suffixes, "_suffix")
@@ -172,36 +164,35 @@ def identify_languages(
     both = evidence.join(priors, ["_host", "_suffix"], "left").fillna(
         0.0, [f"_{k}_{l}" for l in languages for k in "hs"]
     )
-    own = {l: F.when(F.col("_n") > 0, F.col(f"_soft_{l}")).otherwise(0.0) for l in languages}
-
-    def smoothed(kind: str, wider: dict):
-        left = {l: F.greatest(F.col(f"_{kind}_{l}") - own[l], F.lit(0.0)) for l in languages}
-        whole = sum(left.values(), F.lit(prior_rows))
-        return {l: (left[l] + prior_rows * wider[l]) / whole for l in languages}
-
-    at_suffix = smoothed("s", {l: F.lit(p) for l, p in zip(languages, everything)})
-    both = both.withColumns({f"_ps_{l}": p for l, p in at_suffix.items()})
-    at_host = smoothed("h", {l: F.col(f"_ps_{l}") for l in languages})
-    scores = {
-        f"_score_{l}": TEXT_WEIGHT * F.col(f"_like_{l}") + declared_log(i) + F.log(at_host[l])
-        for i, l in enumerate(languages)
-    }
-    both = both.withColumns(scores)
-    top = F.greatest(*scores) if len(scores) > 1 else F.col(next(iter(scores)))
-    both = both.withColumn("_top", top)
-    language = F.coalesce(*(F.when(F.col(f"_score_{l}") == F.col("_top"), l) for l in languages))
-    mass = sum((F.exp(F.col(s) - F.col("_top")) for s in scores), F.lit(0.0))
-    best = F.greatest(*(f"_like_{l}" for l in languages)) if len(languages) > 1 else F.col(
-        f"_like_{languages[0]}"
-    )
-    posterior = 1 / mass
-    fits = best >= F.col("_n") * float(np.log(1.0 / buckets))
-    return both.select(
-        id_col,
-        *keep,
-        language.alias("language"),
-        posterior.alias("posterior"),
-        ((F.col("_n") > 0) & (posterior >= least_posterior) & fits).alias("kept"),
+    floor = float(np.log(1.0 / buckets))
+
+    def fuse():
+        def smoothed(counts: np.ndarray, own: np.ndarray, wider: np.ndarray) -> np.ndarray:
+            left = np.maximum(counts - own, 0.0) + prior_rows * wider
+            return left / left.sum(1, keepdims=True)
+
+        def each(ids, names, units, *columns):
+            extra, numbers = columns[: len(keep)], np.array(columns[len(keep) :]).T
+            like, soft, host, suffix = np.split(numbers, 4, axis=1)
+            units = np.array(units)
+            own = np.where(units[:, None] > 0, soft, 0.0)
+            prior = smoothed(host, own, smoothed(suffix, own, everything))
+            score = TEXT_WEIGHT * like + np.array([said[n] for n in names]) + np.log(prior)
+            best = score.argmax(1)
+            posterior = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
+            kept = (units > 0) & (posterior >= least_posterior) & (like.max(1) >= units * floor)
+            named = [languages[i] for i in best.tolist()]
+            return zip(ids, *extra, named, posterior.tolist(), kept.tolist())
+
+        return each
+
+    numbers = [f"_{k}_{l}" for k in ("like", "soft", "h", "s") for l in languages]
+    kinds_of = {f.name: f.dataType.simpleString() for f in named.schema}
+    schema = ", ".join(f"{c} {kinds_of[c]}" for c in (id_col, *keep))
+    return map_batches(
+        both.select(id_col, "_declared", "_n", *keep, *numbers),
+        fuse,
+        f"{schema}, language string, posterior double, kept boolean",
     )
 
 
