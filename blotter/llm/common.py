@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -103,5 +102,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+def extras_renamed(docs: DataFrame, *own: str | None) -> DataFrame:
+    """`docs` with all but its `own` columns under names that clash with nothing; the order
+    stays, so `toDF(*names)` gives the names back."""
+    return docs.toDF(*(n if n in own else f"extra_{i}" for i, n in enumerate(docs.columns)))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.common import map_batches, window_hashes, word_hashes, written
+from blotter.llm.common import extras_renamed, map_batches, window_hashes, word_hashes, written
 from blotter.llm.components import connected_components
 from blotter.llm.registry import query, table
 
@@ -401,12 +401,14 @@ def docs_repeat(texts: DataFrame) -> bool:
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **settings):
     """The rows of `docs` whose id names their component; one row of those that repeat."""
+    outside = docs.columns
+    docs = extras_renamed(docs, id_col, text)
     parts = jaccard_components(docs, id_col=id_col, text=text, **settings)
     keep = parts.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
     kept = docs.join(keep.withColumnRenamed(id_col, "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")))
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
     first = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return first.select(*docs.columns)
+    return first.select(*docs.columns).toDF(*outside)
 
 
 @query(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from blotter.llm.common import map_batches, mix, window_hashes, word_hashes, written
+from blotter.llm.common import extras_renamed, map_batches, mix, window_hashes, word_hashes, written
 from blotter.llm.registry import query, table
 
 LONG_WORDS = 25
@@ -179,13 +179,15 @@ def dedup_lines(
     `removed`, if given, is a further column with the numbers of the removed lines, from
     0, null for a null text. `n_chars`, if the rows have it, follows the text.
     """
+    outside = docs.columns
+    docs = extras_renamed(docs, id_col, text, n_chars)
     runs = repeated_runs(
         docs, id_col=id_col, text=text, long_words=long_words, gram=gram, window=window
     )
     names = docs.columns
     at = names.index(text)
     fields = [StructField(f.name, StringType() if f.name == text else f.dataType) for f in docs.schema]
-    mark = removed or "_removed"
+    mark = "_removed"
     fields.append(StructField(mark, ArrayType(IntegerType())))
 
     def make():
@@ -210,7 +212,7 @@ def dedup_lines(
     if n_chars in names:
         length = F.when(F.size(mark) > 0, F.length(text)).otherwise(F.col(n_chars))
         out = out.withColumn(n_chars, length.cast(docs.schema[n_chars].dataType))
-    return out if removed else out.drop(mark)
+    return out.toDF(*outside, removed) if removed else out.drop(mark).toDF(*outside)
 
 
 @query()

@@ -64,8 +64,8 @@ LEET = str.maketrans("4@310$57", "aaeiosst")
 
 _STEPS = {p for row in ROWS for r in (row, row[::-1]) for p in zip(r, r[1:])}
 _DATE = re.compile(
-    r"(?=((?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])"
-    r"|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d))",
+    r"(?=((?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])"
+    r"|(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:19|20)\d\d))",
     re.ASCII,
 )
 _YEAR = re.compile(r"(?=((?:19|20)\d\d))", re.ASCII)

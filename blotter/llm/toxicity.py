@@ -75,9 +75,10 @@ def labelled_sample(
         for value in (0, 1)
     ]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    found = docs.join(chosen, F.col(id_col) == F.col("_label_id"))
-    return found.where(F.col(text).isNotNull()).select(
-        F.col(text).alias("_text"), "_toxic", F.xxhash64("_label_id", text).alias("_order")
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    found = slim.join(chosen, F.col("_id") == F.col("_label_id"))
+    return found.where(F.col("_text").isNotNull()).select(
+        "_text", "_toxic", F.xxhash64("_label_id", "_text").alias("_order")
     )
 
 

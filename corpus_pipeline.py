@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.llm import jaccard, language, lines, packing, secrets
-from blotter.llm.common import prepare, written
+from blotter.llm.common import extras_renamed, prepare, written
+
+#: The columns that the stages look at.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: SQL can't say the models, winnowing and tokens of these stages; tests hold them against
 #: brute force.
@@ -28,22 +31,26 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a language; nothing else of them changes."""
     prepare(spark)
-    slim = docs.select("doc_id", "text", "lang", "source")
+    names = docs.columns
+    docs = extras_renamed(docs, *COLUMNS)
     content = F.xxhash64("text")
+    slim = docs.select("doc_id", "text", "lang", "source").withColumn("_content", content)
     found = language.identify_languages(
-        slim.withColumn("_content", content), declared="lang", host="source", keep=("_content",)
+        slim, declared="lang", host="source", keep=("_content",)
     )
     keep = found.where("kept").select(F.col("doc_id").alias("_id"), "_content").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content"))
-    return docs.join(keep, same, "left_semi")
+    return docs.join(keep, same, "left_semi").toDF(*names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove later repeated runs of lines, and documents that consist of such runs only."""
     prepare(spark)
-    cut = lines.dedup_lines(docs, removed="_removed_lines")
+    names = docs.columns
+    cut = lines.dedup_lines(extras_renamed(docs, *COLUMNS), removed="_removed_lines")
     emptied = (F.size("_removed_lines") > 0) & ~F.col("text").rlike(r"\S")
-    return cut.where(~F.coalesce(emptied, F.lit(False))).drop("_removed_lines")
+    kept = cut.where(~F.coalesce(emptied, F.lit(False)))
+    return kept.drop("_removed_lines").toDF(*names)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
