@@ -57,37 +57,37 @@ def running_totals(
     )
 
 
-def to_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value double) of the given numeric columns, nulls left out."""
+def present(df: DataFrame, name: str, finite: bool = False) -> Column:
+    """A numeric column as double with NaN, and infinite values if asked for, as null."""
+    value = F.col(f"`{name}`").cast("double")
+    if dict(df.dtypes)[name] not in ("float", "double"):
+        return value
+    missing = F.isnan(value) | (F.abs(value) == float("inf")) if finite else F.isnan(value)
+    return F.when(~missing, value)
+
+
+def to_long(df: DataFrame, cols: Sequence[str], finite: bool = False) -> DataFrame:
+    """(column, value double) of the given numeric columns, missing values left out."""
     entries = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
+            F.struct(F.lit(c).alias("column"), present(df, c, finite).alias("value"))
             for c in cols
         ]
     )
     return df.select(F.inline(entries)).filter(F.col("value").isNotNull())
 
 
-def _bracket_ends(size: int, accuracy: int) -> list[Column]:
-    small = F.col("_n") <= accuracy
-    return [
-        F.when(small, F.array_repeat(extreme, size))
-        .otherwise(F.slice("_ends", start, size))
-        .alias(name)
-        for name, extreme, start in (("_lo", "_min", 1), ("_hi", "_max", size + 1))
-    ]
-
-
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
-    """(column, prob, value): quantiles with linear interpolation.
+    """(column, prob, value): quantiles with linear interpolation; NaN counts as missing.
 
     A first pass takes approximate quantiles a little below and above each
-    wanted one. A second pass counts values inside these brackets one by one
-    and everything between two brackets as one entry, so only the brackets are
-    shuffled and sorted: about 6 / accuracy of the rows per quantile. Tables
-    with fewer rows than `accuracy` are their own bracket.
+    wanted one. A second pass counts values inside these brackets one by one;
+    of what lies between two brackets it keeps the lowest and the highest value
+    and the number of the others. So only the brackets are shuffled and sorted:
+    about 6 / accuracy of the rows per quantile. A bracket that missed its rank
+    by more than a row is an error, never another value.
     """
     probs = sorted(float(p) for p in probs)
     margin = 3.0 / accuracy
@@ -98,31 +98,56 @@ def exact_quantiles(
         long.groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.min("value").alias("_min"),
-            F.max("value").alias("_max"),
             F.percentile_approx("value", wanted, accuracy).alias("_ends"),
         )
-        .select("column", "_n", *_bracket_ends(len(probs), accuracy))
+        .select(
+            "column",
+            "_n",
+            F.slice("_ends", 1, len(probs)).alias("_lo"),
+            F.slice("_ends", len(probs) + 1, len(probs)).alias("_hi"),
+        )
     )
     value, each = F.col("value"), range(len(probs))
     passed = sum((F.when(value > F.col("_hi")[j], 1).otherwise(0) for j in each), F.lit(0))
     inside = reduce(Column.__or__, [value.between(F.col("_lo")[j], F.col("_hi")[j]) for j in each])
     counted = (
         long.join(F.broadcast(brackets), "column")
-        .groupBy("column", "_n", passed.alias("_zone"), F.when(inside, value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("_k"))
+        .groupBy("column", "_n", passed.alias("_zone"), F.when(inside, value).alias("_inside"))
+        .agg(
+            F.count(F.lit(1)).alias("_count"),
+            F.min("value").alias("_low"),
+            F.max("value").alias("_high"),
+        )
+    )
+    count = F.col("_count")
+
+    def entry(value: Column, k: Column) -> Column:
+        return F.struct(value.alias("value"), k.cast("long").alias("_k"))
+
+    nothing = F.lit(None).cast("double")
+    ends = F.array(
+        entry(F.col("_low"), F.lit(1)),
+        entry(nothing, F.greatest(count - 2, F.lit(0))),
+        entry(F.col("_high"), F.when(count > 1, 1).otherwise(0)),
     )
+    known = F.array(entry(F.col("_inside"), count))
+    counted = counted.select(
+        "column", "_n", "_zone", "_inside",
+        F.posexplode(F.when(F.col("_inside").isNull(), ends).otherwise(known)).alias("_at", "_e"),
+    ).select("column", "_n", "_zone", "_inside", "_at", "_e.value", "_e._k").filter("_k > 0")
     upto = F.sum("_k").over(
         Window.partitionBy("column")
-        .orderBy("_zone", F.asc_nulls_first("value"))
+        .orderBy("_zone", F.asc_nulls_first("_inside"), "_at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
+    def at(rank: Column) -> Column:
+        found = F.min(F.when(F.col("_upto") > rank, F.struct("_upto", "value")))["value"]
+        return F.coalesce(found, F.raise_error(F.lit("a quantile's bracket missed its rank")))
+
     def quantile(p: float) -> Column:
         rank = (F.col("_n") - 1) * F.lit(p)
-        a = F.min(F.when(F.col("_upto") > F.floor(rank), value))
-        b = F.min(F.when(F.col("_upto") > F.ceil(rank), value))
-        part = F.first(rank - F.floor(rank))
+        a, b, part = at(F.floor(rank)), at(F.ceil(rank)), F.first(rank - F.floor(rank))
         return F.struct(F.lit(p).alias("prob"), (a + (b - a) * part).alias("value"))
 
     return (

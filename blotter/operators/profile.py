@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from blotter.functions import pct
 from blotter.operators.clean import columns_of_type
-from blotter.operators.ordered import exact_quantiles, to_long
+from blotter.operators.ordered import exact_quantiles, present, to_long
 
 
 def numeric_columns(df: DataFrame, booleans: bool = False) -> list[str]:
@@ -42,7 +42,7 @@ def describe(
 ) -> DataFrame:
     """(column, stat, value): count, mean, std, min, 25%, 50%, 75%, max.
 
-    Quartiles are exact unless `approx` asks for Spark's sketch.
+    Quartiles are exact unless `approx` asks for Spark's sketch. NaN counts as missing.
     """
     cols = list(cols) if cols else numeric_columns(df)
     quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
@@ -63,7 +63,7 @@ def describe(
         return F.struct(
             F.lit(c).alias("column"),
             F.lit(stat).alias("stat"),
-            plain[stat](F.col(f"`{c}`")).alias("value"),
+            plain[stat](present(df, c)).alias("value"),
         )
 
     simple = df.agg(
@@ -77,17 +77,25 @@ def describe(
 
 
 def histogram(
-    df: DataFrame, cols: Sequence[str] | None = None, bins: int | str = 10
+    df: DataFrame,
+    cols: Sequence[str] | None = None,
+    bins: int | str = 10,
+    most_bins: int = 100_000,
 ) -> DataFrame:
     """(column, bin, lo, hi, n): equal-width bins, the last one closed on the right.
 
     `bins="auto"` takes the narrower of the Freedman-Diaconis and the Sturges
-    width per column. Empty bins are listed with 0. A column without spread
-    gets the unit-wide range around its value.
+    width per column; an outlier that asks for more than `most_bins` bins is an error.
+    Empty bins are listed with 0. A column without spread gets the unit-wide range
+    around its value. NaN and infinite values count as missing.
     """
     cols = list(cols) if cols else numeric_columns(df)
+    df = df.select(*[present(df, c, finite=True).alias(c) for c in cols])
     long = to_long(df, cols)
     edges = _edges(df, long, cols, bins)
+    told = F.concat(F.lit("too many bins for "), "column", F.lit(": "), F.col("bins").cast("string"))
+    allowed = F.when(F.col("bins") <= most_bins, F.col("bins")).otherwise(F.raise_error(told))
+    edges = edges.withColumn("bins", allowed.cast("long"))
     # One row per column: the schema bounds what is broadcast.
     counts = (
         long.join(F.broadcast(edges), "column")
@@ -151,11 +159,12 @@ def _edges(
 def density(df: DataFrame, column: str, grid: int = 200) -> DataFrame:
     """(x, density): Gaussian density estimate on an even grid from min to max.
 
-    Bandwidth is the standard deviation times n^(-1/5). Equal values are
+    NaN and infinite values count as missing. Bandwidth is the standard deviation times
+    n^(-1/5). Equal values are
     counted first, and each task adds up its part of the grid before the
     shuffle of `grid` rows.
     """
-    values = df.select(F.col(f"`{column}`").cast("double").alias("v")).filter("v IS NOT NULL")
+    values = df.select(present(df, column, finite=True).alias("v")).filter("v IS NOT NULL")
     stats = values.agg(
         F.struct(
             F.count(F.lit(1)).cast("double").alias("n"),
@@ -188,31 +197,33 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     are present. It is null when one of them has no spread there, for which
     Spark's own `corr` raises a division by zero.
 
-    A row is spread out to one entry per pair and added up by pair in the same
-    task, which keeps the generated code small whatever the number of columns;
-    only one row per pair and task is shuffled.
+    All pairs are added up side by side in one aggregation without grouping, so every
+    column is read, and typed, once per row and a task sends one row.
     """
     cols = list(cols) if cols else numeric_columns(df, booleans=True)
     kinds = dict(df.dtypes)
 
     def number(c: str):
-        column = F.col(f"`{c}`")
-        return (column.cast("int") if kinds[c] == "boolean" else column).cast("double")
-
-    # NaN is missing too. Doing this in `transform` also keeps the expressions of
-    # `df` and the loops over the pairs in separate, smaller compiled stages.
-    values = F.array(*[number(c) for c in cols])
-    row = df.select(F.transform(values, lambda x: F.when(~F.isnan(x), x)).alias("row"))
-    first = row.select("row", F.posexplode("row").alias("i", "x"))
-    pairs = first.select("i", "x", F.posexplode("row").alias("j", "y")).filter("i <= j")
-    spread = F.sqrt(F.regr_sxx("y", "x") * F.regr_syy("y", "x"))
-    r = F.try_divide(F.regr_sxy("y", "x"), spread)
-    found = pairs.groupBy("i", "j").agg(r.alias("r"))
-    names = F.array(*[F.lit(c) for c in cols])
-
-    def cell(a: str, b: str, value):
-        return F.struct(names[F.col(a)].alias("a"), names[F.col(b)].alias("b"), value.alias("r"))
-
-    own = F.array(cell("i", "j", F.col("r") * 0 + 1))
-    both = F.array(cell("i", "j", F.col("r")), cell("j", "i", F.col("r")))
-    return found.select(F.inline(F.when(F.col("i") == F.col("j"), own).otherwise(both)))
+        if kinds[c] == "boolean":
+            return F.col(f"`{c}`").cast("int").cast("double")
+        return present(df, c)
+
+    row = df.select(*[number(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    places = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+
+    def entry(i: int, j: int):
+        x, y = F.col(f"_{i}"), F.col(f"_{j}")
+        spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+        r = F.try_divide(F.regr_sxy(y, x), spread)
+        return (r * 0 + 1 if i == j else r).alias(f"_{i}_{j}")
+
+    found = row.agg(*[entry(i, j) for i, j in places])
+
+    def cell(i: int, j: int, value: str):
+        return F.struct(
+            F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(value).alias("r")
+        )
+
+    cells = [cell(i, j, f"_{i}_{j}") for i, j in places]
+    cells += [cell(j, i, f"_{i}_{j}") for i, j in places if i != j]
+    return found.select(F.inline(F.array(*cells)))

@@ -20,14 +20,15 @@ def read_incidents_csv(
 ) -> DataFrame:
     """Read CSV files with a header and keep the `required` columns by name.
 
-    The order of the columns in the file does not matter; a missing one is an
-    error. All columns are text unless `infer` asks Spark for one more pass
+    The order of the columns does not matter, but files read together must agree
+    on it: another header in one of them is an error, and so is a missing column. All columns are text unless `infer` asks Spark for one more pass
     over the data to find types.
     """
     df = (
         spark.read.format("csv")
         .option("header", True)
         .option("inferSchema", infer)
+        .option("enforceSchema", False)
         .option("sep", sep)
         .load(path)
     )

@@ -191,6 +191,9 @@ def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 _FEATURES = ", ".join(plans.MODEL_FEATURES)
 _DIFFERING = " + ".join(f"(q.{f} <> b.{f})::INTEGER" for f in plans.MODEL_FEATURES)
+_UNSEEN = " + ".join(
+    f"(q.{f} NOT IN (SELECT {f} FROM rows WHERE in_train))::INTEGER" for f in plans.MODEL_FEATURES
+)
 
 
 def _nearest_sql(k: int) -> str:
@@ -199,7 +202,7 @@ def _nearest_sql(k: int) -> str:
         _MODEL_ROWS
         + f", q AS (SELECT DISTINCT {_FEATURES} FROM rows WHERE NOT in_train), "
         + f"pairs AS (SELECT {', '.join('q.' + f for f in plans.MODEL_FEATURES)}, "
-        + f"b.ID AS neighbour, b.label, sqrt(2.0::DOUBLE * ({_DIFFERING})) AS distance "
+        + f"b.ID AS neighbour, b.label, sqrt(2.0::DOUBLE * ({_DIFFERING}) - ({_UNSEEN})) AS distance "
         + "FROM q, rows b WHERE b.in_train), near AS (SELECT * FROM (SELECT *, "
         + f"CAST(row_number() OVER (PARTITION BY {_FEATURES} ORDER BY distance, neighbour) "
         + f"AS INTEGER) AS rank FROM pairs) x WHERE rank <= {k}) "
@@ -301,8 +304,7 @@ def _logistic(t: Tables) -> tuple[ml.GridSearch, DataFrame, DataFrame]:
 
 def _tree(t: Tables) -> tuple[ml.GridSearch, DataFrame, DataFrame]:
     train, test = _split(t)
-    grid = {"max_depth": [1, 5, 10], "min_leaf": [1, 5], "folds": 5}
-    return ml.tree_search(train, plans.MODEL_FEATURES, "label", "ID", grid), train, test
+    return ml.tree_search(train, plans.MODEL_FEATURES, "label", "ID"), train, test
 
 
 @query()

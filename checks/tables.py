@@ -35,14 +35,22 @@ def csv_inferred(t: Tables) -> DataFrame:
     return sources.read_incidents_csv(t.spark, path, required=cols, infer=True)
 
 
-@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey = 3")
-def table_roundtrip(t: Tables) -> DataFrame:
+def _saved_customers(t: Tables) -> DataFrame:
     name = f"customers_{uuid.uuid4().hex}"
     kept = t.customer.select("c_custkey", "c_name", "c_nationkey")
-    saved = sources.save_table(
+    return sources.save_table(
         kept, name, partition_by=["c_nationkey"], path=new_path(t.spark, "table")
     )
-    return saved.filter("c_nationkey = 3")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def table_roundtrip(t: Tables) -> DataFrame:
+    return _saved_customers(t)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey = 3")
+def table_pruned(t: Tables) -> DataFrame:
+    return _saved_customers(t).filter("c_nationkey = 3")
 
 
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, p_name LIMIT 25")
