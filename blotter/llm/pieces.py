@@ -15,13 +15,14 @@ empty ones none. Rows are independent; further columns are only carried where as
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import re
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ MARK = "▁"
 #: Stands for a mark that occurs in the text itself; no valid text has this code point.
 _LITERAL = "\ud800"
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
-#: Words a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+#: Words of one generation of what a worker remembers.
+CACHE_WORDS = 200_000
 
 
 class Model:
@@ -57,7 +58,11 @@ class Model:
                     raise ValueError(f"piece {piece!r} has a mark inside")
                 self.pieces[piece] = (sp.get_score(i), i)
                 self.out.append(piece.replace(MARK, " ").encode())
-        self.longest = max(map(len, self.pieces))
+        # All endings of pieces: None where the ending itself is no piece.
+        self.endings: dict[str, tuple[float, int] | None] = dict(self.pieces)
+        for piece in self.pieces:
+            for i in range(1, len(piece)):
+                self.endings.setdefault(piece[i:])
         self.unknown = min(s for s, _ in self.pieces.values()) - 10.0
 
     def spelt(self, char: str) -> list[int]:
@@ -80,7 +85,7 @@ def marked_words(text: str) -> list[str]:
 
 def viterbi(words: Sequence[str], model: Model) -> Iterator[tuple[str, list[int]]]:
     """(word, ids) of distinct sorted words, each prefix scored once per run of words."""
-    pieces, longest, unknown = model.pieces, model.longest, model.unknown
+    endings, unknown = model.endings, model.unknown
     score, back, ids = [0.0], [0], [-1]
     before = ""
     for word in words:
@@ -90,10 +95,13 @@ def viterbi(words: Sequence[str], model: Model) -> Iterator[tuple[str, list[int]
         del score[shared + 1 :], back[shared + 1 :], ids[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             best, start, piece = score[end - 1] + unknown, end - 1, -1
-            for i in range(max(0, end - longest), end):
-                hit = pieces.get(word[i:end])
-                if hit is not None and (total := score[i] + hit[0]) > best:
-                    best, start, piece = total, i, hit[1]
+            for i in range(end - 1, -1, -1):
+                hit = endings.get(word[i:end], 0)
+                if hit:
+                    if (total := score[i] + hit[0]) >= best:
+                        best, start, piece = total, i, hit[1]
+                elif hit == 0:
+                    break
             score.append(best)
             back.append(start)
             ids.append(piece)
@@ -132,17 +140,22 @@ def encode(df: DataFrame, *, text: str = "text", ids: str = "ids", model: str |
     """`df` with the ids of each text."""
 
     def make():
-        m, known = load(model or default_model()), {}
+        m = load(model or default_model())
+        young: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
 
         def each(column):
+            nonlocal young, old
             split = [None if t is None else marked_words(t) for t in column.to_pylist()]
-            new = sorted({w for words in split if words for w in words if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = sorted({w for words in split if words for w in words})
-            for word, path in viterbi(new, m):
-                known[word] = np.array(path, np.int32).tobytes()
-            take = known.__getitem__
+            if len(young) > CACHE_WORDS:
+                young, old = {}, young
+            new = set().union(*filter(None, split)).difference(young)
+            again = [word for word in new if word in old]
+            for word in again:
+                young[word] = old[word]
+            for word, path in viterbi(sorted(new.difference(again)), m):
+                young[word] = array("i", path).tobytes()
+            take = young.__getitem__
             return [
                 None if words is None else np.frombuffer(b"".join(map(take, words)), np.int32)
                 for words in split
