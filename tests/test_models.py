@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blotter import ml
+from blotter.ml.models import _leaf_share
 from blotter.ml.neighbours import WIDE_GROUP_SALTS
 from blotter.storage import materialize, shared_dir
 
@@ -125,7 +126,9 @@ def test_neighbours_of_a_query_without_any_match(table):
     base = table([(i, "x", "y", i % 2) for i in range(4)], "id long, a string, b string, label int")
     asked = table([(9, "u", "v", 0)], "id long, a string, b string, label int")
     near = ml.knn_join(asked, base, ["a", "b"], "id", "label", 3).orderBy("rank").collect()
-    assert [(r.neighbour, r.distance) for r in near] == [(0, 2.0), (1, 2.0), (2, 2.0)]
+    assert [(r.neighbour, r.distance) for r in near] == [
+        (i, pytest.approx(2**0.5)) for i in range(3)
+    ]
     assert WIDE_GROUP_SALTS > 1
 
 
@@ -214,3 +217,27 @@ def test_materialized_tables_live_in_the_shared_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or folder == configured
     assert materialize(spark.range(3)).count() == 3
+
+
+def test_an_unseen_value_is_all_zeros(table):
+    base = table([(1, "x", "y", 1), (2, "x", "z", 0)], "id long, a string, b string, label int")
+    asked = table([(9, "u", "y", 0)], "id long, a string, b string, label int")
+    near = ml.knn_join(asked, base, ["a", "b"], "id", "label", 2).orderBy("rank").collect()
+    assert [(r.neighbour, r.distance) for r in near] == [(1, 1.0), (2, pytest.approx(3**0.5))]
+
+
+def test_rows_with_missing_features_are_classified(table):
+    schema = "id long, a string, b string, label int"
+    base = table([(1, "x", "y", 1), (2, "x", None, 1), (3, "v", "z", 0)], schema)
+    asked = table([(7, None, "y", 0), (8, "v", "z", 0), (9, None, None, 0)], schema)
+    found = {r.id: r.prediction for r in ml.knn_classify(asked, base, ["a", "b"], "id", "label", 1).collect()}
+    assert found == {7: 1, 8: 0, 9: 1}
+    empty = table([(1, None, "y", 1)], schema)
+    assert ml.knn_classify(asked, empty, ["a", "b"], "id", "label", 1).count() == 3
+
+
+def test_smallest_leaf_is_allowed_in_heavier_folds():
+    assert _leaf_share(2, 98) * 100 < 2
+    assert _leaf_share(2, 98) * 98 > 1
+    with pytest.raises(ValueError):
+        _leaf_share(5, 8)

@@ -351,3 +351,33 @@ def test_correlation_is_pairwise_complete(table):
     assert len(r) == 16 and r["a", "a"] == 1.0 and r["d", "d"] is None
     assert r["a", "b"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 5, 1])[0, 1])
     assert r["a", "c"] == r["c", "a"] == pytest.approx(np.corrcoef([1, 2, 3, 4], [1, 0, 1, 0])[0, 1])
+
+
+def test_nan_is_missing_in_profiles(table):
+    nan, inf = float("nan"), float("inf")
+    df = table([(1.0,), (2.0,), (3.0,), (nan,), (None,)], "x double")
+    stats = {r.stat: r.value for r in op.describe(df).collect()}
+    assert stats == {
+        "count": 3.0, "mean": 2.0, "std": 1.0, "min": 1.0, "25%": 1.5, "50%": 2.0, "75%": 2.5, "max": 3.0,
+    }
+    wide = df.unionByName(table([(inf,), (-inf,)], "x double"))
+    assert [r.n for r in op.histogram(wide, bins=2).orderBy("bin").collect()] == [1, 2]
+    assert all(r.density == r.density and r.density < inf for r in op.density(wide, "x").collect())
+
+
+def test_an_outlier_that_asks_for_too_many_bins_is_an_error(spark):
+    df = spark.range(20_000).selectExpr("IF(id = 0, 1e9, id / 20000D) AS x")
+    with pytest.raises(Exception, match="too many bins"):
+        op.histogram(df, bins="auto").collect()
+
+
+@pytest.mark.parametrize("accuracy", [100, 1000])
+def test_quantiles_of_few_and_many_rows(spark, accuracy):
+    for n in (1, 2, 3, 50, 5000):
+        df = spark.range(n).selectExpr("CAST(id * id % 977 AS DOUBLE) AS x")
+        values = sorted(i * i % 977 for i in range(n))
+        for r in op.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.99, 1.0], accuracy).collect():
+            rank = (n - 1) * r.prob
+            low, part = int(rank), rank - int(rank)
+            high = values[min(low + 1, n - 1)]
+            assert r.value == pytest.approx(values[low] + (high - values[low]) * part)

@@ -96,3 +96,10 @@ def test_lookup_text(table, spark):
     areas = {r.code: r.name for r in sources.area_lookup(spark).collect()}
     assert sorted(areas) == list(range(1, 78))
     assert areas[25] == "Austin" and areas[76] == "O'Hare"
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "b.csv").write_text("v,k\n3,4\n")
+    with pytest.raises(Exception, match="header"):
+        sources.read_incidents_csv(spark, str(tmp_path), required=["k", "v"]).collect()
