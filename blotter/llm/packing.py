@@ -14,6 +14,7 @@ gives no piece.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -31,10 +32,14 @@ LENGTH = 4096
 END_ID = 2
 #: Buckets of the hashed vector, dimensions it is projected to, bits of each on the curve.
 BUCKETS, DIMS, BITS = 1024, 6, 8
-#: Chunks a worker remembers before it starts anew.
-CACHE_CHUNKS = 300_000
+#: Chunks of one generation of what a worker remembers.
+CACHE_CHUNKS = 200_000
 #: Chunks that are tokenised in one string.
-JOINED = 500
+JOINED = 100
+
+
+#: Letters and then marks, which the tokenizer always takes apart.
+_TAILED = re.compile(r"([^\W\d_]+)([.,;:!?*#$%&]+)")
 
 
 class ChunkTokenizer:
@@ -52,43 +57,76 @@ class ChunkTokenizer:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        # Two generations: what a worker still meets moves on when the younger one is full.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        def plain(chunk: str) -> bool:
-            low = chunk.lower()
-            return low.isalpha() and unicodedata.is_normalized("NFC", chunk)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u2") for e in found]
 
-        simple = [c for c in chunks if plain(c)]
-        rest = [c for c in chunks if not plain(c)]
-        for at in range(0, len(simple), JOINED):
-            part = simple[at : at + JOINED]
+    def _find(self, chunks: set[str]) -> set[str]:
+        """Those of `chunks` that neither generation knows."""
+        new, old = chunks.difference(self.young), self.old
+        known = [chunk for chunk in new if chunk in old]
+        for chunk in known:
+            self.young[chunk] = old[chunk]
+        return new.difference(known)
+
+    def _learn(self, chunks: set[str]) -> None:
+        words, tails, rest = [], {}, []
+        for chunk in chunks:
+            if _is_word(chunk):
+                words.append(chunk)
+            elif (m := _TAILED.fullmatch(chunk)) and _is_word(m[1]):
+                tails[chunk] = m.groups()
+            else:
+                rest.append(chunk)
+        stems = self._find({part for pair in tails.values() for part in pair}.difference(words))
+        for stem in stems:
+            (words if _is_word(stem) else rest).append(stem)
+        words.sort()
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
             ids = self._ids([" ".join(part)])[0]
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 rest += part
                 continue
-            start = 0
-            for chunk, end in zip(part, cuts.tolist()):
-                self.known[chunk] = ids[start:end].tobytes()
+            whole, start = ids.tobytes(), 0
+            for word, end in zip(part, (2 * cuts).tolist()):
+                self.young[word] = whole[start:end]
                 start = end
         if rest:
             for chunk, ids in zip(rest, self._ids(rest)):
-                self.known[chunk] = ids.tobytes()
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2") for e in found]
+                self.young[chunk] = ids.tobytes()
+        for chunk, (stem, tail) in tails.items():
+            self.young[chunk] = self.young[stem] + self.young[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
-        if len(known) + len(new) > CACHE_CHUNKS:
-            known.clear()
-            new = {c for chunks in split for c in chunks}
-        self._learn(sorted(new))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.young) > CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        if new := self._find(set().union(*split)):
+            self._learn(new)
+        take = self.young.__getitem__
+        return [b"".join(map(take, chunks)) for chunks in split]
+
+
+def _lowered(text: str) -> str:
+    """Lower case where that surely is what the tokenizer does first anyway."""
+    if text.isascii():
+        return text if "<|" in text else text.lower()
+    special = "<|" in text or "\u03a3" in text or "\u0130" in text
+    return text if special or not unicodedata.is_normalized("NFC", text) else text.lower()
+
+
+def _is_word(chunk: str) -> bool:
+    """Letters alone, also after the tokenizer's normalisation: one word for it."""
+    return chunk.isalpha() and (
+        chunk.isascii()
+        or chunk.lower().isalpha() and unicodedata.is_normalized("NFC", chunk)
+    )
 
 
 @lru_cache(maxsize=2)
