@@ -264,10 +264,11 @@ def _star(marked: DataFrame, pick) -> DataFrame:
     """(a, b): each node with that picked node of its tokens that it shares most with."""
     centre = marked.groupBy("token").agg(pick("node").alias("b"))
     pairs = marked.join(centre, "token").where("node <> b")
-    if "component" in marked.columns:
+    own = [c for c in ("component",) if c in marked.columns]
+    counts = pairs.groupBy("node", "b", *own).agg(F.count("*").alias("n"))
+    if own:
         parts = marked.select(F.col("node").alias("b"), F.col("component").alias("_other"))
-        pairs = pairs.join(parts.distinct(), "b").where("component <> _other")
-    counts = pairs.groupBy("node", "b").agg(F.count("*").alias("n"))
+        counts = counts.join(parts.distinct(), "b").where("component <> _other")
     best = F.max(F.struct("n", "b")).alias("_best")
     return counts.groupBy("node").agg(best).select(F.col("node").alias("a"), "_best.b")
 
