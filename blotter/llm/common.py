@@ -18,6 +18,8 @@ from blotter.storage import new_path
 
 #: Rows of one Arrow batch: keeps a batch of texts at a few MB.
 BATCH_ROWS = 500
+#: Bytes of one Arrow batch, however long its texts are.
+BATCH_BYTES = "16m"
 
 _U = np.uint64
 
@@ -93,6 +95,7 @@ def prepare(spark: SparkSession) -> None:
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
