@@ -16,7 +16,9 @@ candidate must then share more of them before it is verified.
    of lists that still hold different components.
 3. Lists that still hold different components give all pairs across components, which
    need enough shared tokens and are then verified: no link between components is lost,
-   and no pair inside a component is made.
+   and no pair inside a component is made. Sets of a and b tokens that link share at
+   least o = ceil(percent * (a + b) / (100 + percent)), so the first l that they share
+   are among the first a - o + l and b - o + l: a pair counts only tokens found there.
 
 Null and empty texts, and those without words, have the empty set and link with nothing;
 fewer words than a shingle has are one shingle. Rows that repeat have equal sets and so
@@ -44,9 +46,11 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 VERIFY_COST, OTHER_PARTNERS = 10.0, 0.05
 #: Prefix tokens that meet in one group.
 GROUP_TOKENS = 400_000
+#: Pairs that a task looks at together.
+PAIRS_AT_ONCE = 500_000
 
 _NULL_ID = -(1 << 63)
-_ITEM = np.dtype([("token", "<u8"), ("node", "<i8")])
+_ITEM = np.dtype([("token", "<u8"), ("node", "<i8"), ("at", "<i4")])
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -176,7 +180,7 @@ def _nodes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFrame
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
-    """(token, node) of every prefix token that more than one node has."""
+    """(token, node, place in its prefix) of every token that prefixes of several nodes have."""
     total = nodes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     groups = max(1, math.ceil(total / GROUP_TOKENS))
 
@@ -189,6 +193,7 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
             for node, prefix in zip(ids, prefixes):
                 items = np.empty(len(prefix) // 8, _ITEM)
                 items["token"], items["node"] = np.frombuffer(prefix, "<u8"), node
+                items["at"] = np.arange(len(items))
                 self.parts.append(items)
                 self.size += len(items)
             return self.dealt() if self.size > 1_000_000 else []
@@ -213,14 +218,14 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
         keep[1:] |= same
         keep[:-1] |= same
         kept = items[keep]
-        return pd.DataFrame({"token": kept["token"].astype(np.int64), "node": kept["node"]})
+        token = kept["token"].astype(np.int64)
+        return pd.DataFrame({"token": token, "node": kept["node"], "at": kept["at"]})
 
     dealt = map_batches(
         nodes.select("node", "prefix"), Dealer, "g long, items binary", last=Dealer.dealt
     )
-    return written(
-        dealt.groupBy("g").applyInPandas(shared, "token long, node long"), "jaccard-shared"
-    )
+    found = dealt.groupBy("g").applyInPandas(shared, "token long, node long, at int")
+    return written(found, "jaccard-shared")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -253,7 +258,7 @@ def _labelled(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
     """(component of nodes that have links, shared tokens whose nodes differ in component)."""
     parts = connected_components(found)
     own = F.coalesce("component", "node").alias("component")
-    marked = shared.join(parts, "node", "left").select("token", "node", own)
+    marked = shared.join(parts, "node", "left").select("token", "node", "at", own)
     mixed = marked.groupBy("token").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low <> _high")
@@ -274,7 +279,7 @@ def _star(marked: DataFrame, pick) -> DataFrame:
 
 
 def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share enough prefix tokens."""
+    """(a, b) of different components that share enough tokens early in their prefixes."""
     total = marked.count()
     groups = max(1, math.ceil(total / GROUP_TOKENS))
     rows = marked.join(nodes.select("node", "n", "ask"), "node").withColumn(
@@ -284,7 +289,7 @@ def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["token", "component"], kind="stable")
         token, component = part["token"].to_numpy(), part["component"].to_numpy()
-        node, n, ask = (part[c].to_numpy() for c in ("node", "n", "ask"))
+        node, n, ask, place = (part[c].to_numpy(np.int64) for c in ("node", "n", "ask", "at"))
         count = len(part)
         changes = np.flatnonzero(np.diff(token)) + 1
         ends = np.append(changes, count)[np.searchsorted(changes, np.arange(count), "right")]
@@ -296,14 +301,17 @@ def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         many = np.maximum(ends - begins, 0)
         at = 0
         while at < count:
-            to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 2_000_000)) + at)
+            to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS_AT_ONCE)) + at)
             left = np.repeat(np.arange(at, to), many[at:to])
             step = np.arange(len(left)) - np.repeat(
                 np.cumsum(many[at:to]) - many[at:to], many[at:to]
             )
             right = begins[left] + step
             low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            fits = 100 * low.astype(np.int64) >= percent * high.astype(np.int64)
+            overlap = -(-percent * (low + high) // (100 + percent))
+            spare = np.minimum(ask[left], ask[right]) - overlap
+            fits = (100 * low >= percent * high) & (place[left] < n[left] + spare)
+            fits &= place[right] < n[right] + spare
             left, right = left[fits], right[fits]
             found.append(
                 pd.DataFrame(

@@ -59,6 +59,9 @@ def test_prefix_lemma(words):
             (l, p), (m, q) = (jaccard.adaptive_prefix(s, 85, *counts) for s in (x, y))
             if jaccard.links(x, y, 85):
                 assert len(np.intersect1d(p, q)) >= min(l, m)
+                overlap = -(-85 * (len(x) + len(y)) // 185)
+                early, soon = (t[: len(z) - overlap + min(l, m)] for t, z in ((p, x), (q, y)))
+                assert len(np.intersect1d(early, soon)) >= min(l, m)
 
 
 def test_edge_rows(edge, spark):
