@@ -11,9 +11,9 @@ candidate must then share more of them before it is verified.
 1. Equal sets are one node. Frequent tokens are found by counts that tasks share; the
    list only sorts and estimates, so its bound (`most_frequent`) loses nothing.
 2. Prefix tokens meet in groups of bounded size. In each token's list every node is first
-   matched with the list's smallest node only, and verified with the best of those, so
-   that large groups of near copies link in a star. Then the same with the largest node
-   of lists that still hold different components.
+   matched with one centre only, and verified with the best few of its centres, so that
+   large groups of near copies link in stars. Then rounds with other centres in lists that
+   still hold different components. This only spares pairs; step 3 decides.
 3. Lists that still hold different components give all pairs across components, which
    need enough shared tokens and are then verified: no link between components is lost,
    and no pair inside a component is made. Sets of a and b tokens that link share at
@@ -46,11 +46,14 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 VERIFY_COST, OTHER_PARTNERS = 10.0, 0.05
 #: Prefix tokens that meet in one group.
 GROUP_TOKENS = 400_000
+#: Rounds of stars, kinds of centres, and the centres that a node is verified with in a round.
+ROUNDS, CENTRES, TRIES = 2, 32, 16
 #: Pairs that a task looks at together.
 PAIRS_AT_ONCE = 500_000
 
 _NULL_ID = -(1 << 63)
-_ITEM = np.dtype([("token", "<u8"), ("node", "<i8"), ("at", "<i4")])
+_ITEM = np.dtype([("token", "<u8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4"), ("ask", "<i4")])
+_SHARED = "token long, node long, at int, n int, ask int"
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -180,7 +183,8 @@ def _nodes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFrame
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
-    """(token, node, place in its prefix) of every token that prefixes of several nodes have."""
+    """(token, node, its place `at` in the prefix, the node's size and matches) of every
+    token that prefixes of several nodes have."""
     total = nodes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     groups = max(1, math.ceil(total / GROUP_TOKENS))
 
@@ -189,10 +193,11 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
             self.parts: list[np.ndarray] = []
             self.size = 0
 
-        def __call__(self, ids, prefixes):
-            for node, prefix in zip(ids, prefixes):
+        def __call__(self, ids, sizes, asks, prefixes):
+            for node, n, ask, prefix in zip(ids, sizes, asks, prefixes):
                 items = np.empty(len(prefix) // 8, _ITEM)
                 items["token"], items["node"] = np.frombuffer(prefix, "<u8"), node
+                items["n"], items["ask"] = n, ask
                 items["at"] = np.arange(len(items))
                 self.parts.append(items)
                 self.size += len(items)
@@ -218,14 +223,13 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
         keep[1:] |= same
         keep[:-1] |= same
         kept = items[keep]
-        token = kept["token"].astype(np.int64)
-        return pd.DataFrame({"token": token, "node": kept["node"], "at": kept["at"]})
+        columns = {c: kept[c] for c in ("node", "at", "n", "ask")}
+        return pd.DataFrame({"token": kept["token"].astype(np.int64), **columns})
 
     dealt = map_batches(
-        nodes.select("node", "prefix"), Dealer, "g long, items binary", last=Dealer.dealt
+        nodes.select("node", "n", "ask", "prefix"), Dealer, "g long, items binary", last=Dealer.dealt
     )
-    found = dealt.groupBy("g").applyInPandas(shared, "token long, node long, at int")
-    return written(found, "jaccard-shared")
+    return written(dealt.groupBy("g").applyInPandas(shared, _SHARED), "jaccard-shared")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -258,33 +262,38 @@ def _labelled(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame
     """(component of nodes that have links, shared tokens whose nodes differ in component)."""
     parts = connected_components(found)
     own = F.coalesce("component", "node").alias("component")
-    marked = shared.join(parts, "node", "left").select("token", "node", "at", own)
+    marked = shared.join(parts, "node", "left").select(*shared.columns, own)
     mixed = marked.groupBy("token").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low <> _high")
     return parts, marked.join(mixed.select("token"), "token")
 
 
-def _star(marked: DataFrame, pick) -> DataFrame:
-    """(a, b): each node with that picked node of its tokens that it shares most with."""
-    centre = marked.groupBy("token").agg(pick("node").alias("b"))
-    pairs = marked.join(centre, "token").where("node <> b")
-    own = [c for c in ("component",) if c in marked.columns]
-    counts = pairs.groupBy("node", "b", *own).agg(F.count("*").alias("n"))
-    if own:
-        parts = marked.select(F.col("node").alias("b"), F.col("component").alias("_other"))
-        counts = counts.join(parts.distinct(), "b").where("component <> _other")
-    best = F.max(F.struct("n", "b")).alias("_best")
-    return counts.groupBy("node").agg(best).select(F.col("node").alias("a"), "_best.b")
+def _star(marked: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each node with those few centres of its tokens that it shares most with."""
+    chance = F.xxhash64("node", F.pmod("token", F.lit(CENTRES)), F.lit(turn))
+    own = [c for c in ("node", "at", "n", "ask", "component") if c in marked.columns]
+    centre = marked.groupBy("token").agg(F.min_by(F.struct(*own), chance).alias("c"))
+    name = own[-1] if "component" in own else "node"
+    size = F.col("n") + F.col("c.n")
+    spare = F.least("ask", "c.ask") - F.ceil(percent * size / F.lit(100 + percent))
+    pairs = marked.join(centre, "token").where(
+        (F.col(name) != F.col(f"c.{name}"))
+        & (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+        & (F.col("at") < F.col("n") + spare) & (F.col("c.at") < F.col("c.n") + spare)
+    )
+    counts = pairs.groupBy("node", F.col("c.node").alias("b")).agg(F.count("*").alias("n"))
+    # At most one entry for each token of the node's own prefix.
+    best = F.sort_array(F.collect_list(F.struct("n", "b")), asc=False)
+    few = counts.groupBy("node").agg(F.slice(best, 1, TRIES).alias("_best"))
+    return few.select(F.col("node").alias("a"), F.explode("_best.b").alias("b"))
 
 
-def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _across(marked: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share enough tokens early in their prefixes."""
     total = marked.count()
     groups = max(1, math.ceil(total / GROUP_TOKENS))
-    rows = marked.join(nodes.select("node", "n", "ask"), "node").withColumn(
-        "g", F.pmod(F.xxhash64("token"), F.lit(groups))
-    )
+    rows = marked.withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups)))
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["token", "component"], kind="stable")
@@ -371,13 +380,14 @@ def jaccard_components(
     # Rows that repeat id and text would come twice.
     texts = texts.dropDuplicates(["node"]) if docs_repeat(texts) else texts
 
-    found = _verified(_star(shared, F.min), texts, text, k, percent)
-    _, mixed = _labelled(shared, found)
-    mixed = written(mixed, "jaccard-mixed")
-    found = found.unionByName(_verified(_star(mixed, F.max), texts, text, k, percent))
-    _, mixed = _labelled(shared, found)
-    mixed = written(mixed, "jaccard-mixed")
-    found = found.unionByName(_verified(_across(mixed, nodes, percent), texts, text, k, percent))
+    found = _verified(_star(shared, 0, percent), texts, text, k, percent)
+    for turn in range(1, ROUNDS + 1):
+        _, mixed = _labelled(shared, found)
+        mixed = written(mixed, "jaccard-mixed")
+        if turn < ROUNDS:
+            star = _star(mixed, turn, percent)
+            found = found.unionByName(_verified(star, texts, text, k, percent))
+    found = found.unionByName(_verified(_across(mixed, percent), texts, text, k, percent))
     parts = connected_components(found)
 
     kind = docs.schema[id_col].dataType.simpleString()
