@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -109,3 +110,26 @@ def extras_renamed(docs: DataFrame, *own: str | None) -> DataFrame:
     """`docs` with all but its `own` columns under names that clash with nothing; the order
     stays, so `toDF(*names)` gives the names back."""
     return docs.toDF(*(n if n in own else f"extra_{i}" for i, n in enumerate(docs.columns)))
+
+
+#: A key is hot if it holds more than one of this many rows, so fewer keys than that are hot.
+HOT_SHARE = 10_000
+
+
+def join_counted(rows: DataFrame, values: DataFrame, key: str, copies: DataFrame) -> DataFrame:
+    """`rows` with the columns of `values`, which has one row per `key`; null where none is.
+
+    `copies` (key, n) counts the rows of every key. The values of hot keys are broadcast,
+    which their share of the rows bounds by `HOT_SHARE` rows; all others meet in a shuffle in
+    which no key is large. Rows without a key go past both joins.
+    """
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    hot = copies.where(F.col("n") * HOT_SHARE > total).select(key)
+    named = [c for c in values.columns if c != key]
+    few = values.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*named).alias("_hot"))
+    few = few.union(hot.join(few, key, "left_anti").withColumn("_hot", F.lit(None)))
+    marked = rows.join(F.broadcast(few.withColumn("_is_hot", F.lit(True))), key, "left")
+    past = marked.where(F.col("_is_hot") | F.col(key).isNull())
+    past = past.select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in named])
+    rest = marked.where(F.col("_is_hot").isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    return past.unionByName(rest.join(values, key, "left"))

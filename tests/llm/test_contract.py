@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op9_line_dedup": "doc_id text",
     "op10_language_id": "doc_id language kept",
+    "op11_source_divergence": "lang source part item value rank",
+    "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_token_counts": "doc_id n_bytes n_tokens over_limit",
 }
 
 
@@ -28,7 +31,8 @@ def test_all_operators_are_registered():
 def test_columns_and_rows(spark, name):
     out = QUERIES[name](spark, SMALL)
     assert set(COLUMNS[name].split()) <= set(out.columns)
-    whole = {"op5_top_k": 500, "op7_html_extraction": 50, "op8_packing": None}.get(name, 200)
+    whole = {"op5_top_k": 500, "op7_html_extraction": 50, "op8_packing": None}
+    whole = (whole | {"op11_source_divergence": None, "op12_filter_audit": 2400}).get(name, 200)
     if whole:
         assert out.count() == whole
 
@@ -36,7 +40,7 @@ def test_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     mine = QUERIES[name](spark, SMALL)
     theirs = db.sql(SQL[name])
