@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,11 @@ from blotter.functions import pct
 from blotter.operators.clean import columns_of_type
 from blotter.operators.ordered import exact_quantiles, present, to_long
 
+#: Share of a mean square below which a variance is rounding only.
+NO_SPREAD = 1e-13
+#: Columns of one block of a correlation matrix: two blocks are added up together.
+CORR_BLOCK = 7
+
 
 def numeric_columns(df: DataFrame, booleans: bool = False) -> list[str]:
     kinds = (T.NumericType, T.BooleanType) if booleans else (T.NumericType,)
@@ -197,8 +202,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     are present. It is null when one of them has no spread there, for which
     Spark's own `corr` raises a division by zero.
 
-    All pairs are added up side by side in one aggregation without grouping, so every
-    column is read, and typed, once per row and a task sends one row.
+    Rows are grouped by their pattern of missing columns, and each pattern adds up the values,
+    less the columns' means, and their products. A pair takes the sums of the patterns that
+    have both. All pairs of up to `2 * CORR_BLOCK` columns come from one aggregation; further
+    columns are cut into blocks, and a row goes once to each pair of blocks, so there are
+    never more sums in a group nor more patterns than that number of columns gives.
     """
     cols = list(cols) if cols else numeric_columns(df, booleans=True)
     kinds = dict(df.dtypes)
@@ -209,21 +217,82 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         return present(df, c)
 
     row = df.select(*[number(c).alias(f"_{i}") for i, c in enumerate(cols)])
-    places = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    means = row.agg(F.struct(*[F.avg(c).alias(c) for c in row.columns]).alias("means")).scalar()
+    moved = row.withColumn("_means", means).select(
+        *[(F.col(c) - F.col(f"_means.{c}")).alias(c) for c in row.columns]
+    )
+    sums = _moments(moved, len(cols)).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]
+    )
 
-    def entry(i: int, j: int):
-        x, y = F.col(f"_{i}"), F.col(f"_{j}")
-        spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-        r = F.try_divide(F.regr_sxy(y, x), spread)
-        return (r * 0 + 1 if i == j else r).alias(f"_{i}_{j}")
+    def spread(square: str, total: str) -> Column:
+        # What rounding leaves of a column without spread is no spread.
+        left = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        return F.when(left > F.col(square) * NO_SPREAD, left)
 
-    found = row.agg(*[entry(i, j) for i, j in places])
+    both = F.sqrt(spread("xx", "x") * spread("yy", "y"))
+    r = (F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))) / both
+    bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    r = F.when(F.col("i") == F.col("j"), r * 0 + 1).otherwise(bounded)
+    names = F.lit(cols)
 
-    def cell(i: int, j: int, value: str):
-        return F.struct(
-            F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(value).alias("r")
-        )
+    def cell(a: str, b: str):
+        pair = [F.get(names, F.col(at)).alias(name) for name, at in (("a", a), ("b", b))]
+        return F.struct(*pair, r.alias("r"))
+
+    mirrored = F.when(F.col("i") < F.col("j"), F.array(cell("i", "j"), cell("j", "i")))
+    return sums.select(F.inline(F.coalesce(mirrored, F.array(cell("i", "j")))))
+
+
+def _moments(row: DataFrame, width: int) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy) for columns i <= j of `row`, one per pattern of missing ones.
+
+    Columns without a common row have one with n = 0.
+    """
+    blocks = [range(at, min(at + CORR_BLOCK, width)) for at in range(0, width, CORR_BLOCK)]
+    couples = [(a, b) for a in range(len(blocks)) for b in range(a + 1, len(blocks))] or [(0, 0)]
+    # Which columns a couple of blocks holds, and which of their pairs it answers for: pairs
+    # within a block belong to the first couple that has the block.
+    slots, owned, seen = [], [], set()
+    for a, b in couples:
+        places = [*blocks[a], *(blocks[b] if b != a else [])]
+        pairs = {(i, j) for i in places for j in places if i <= j} - seen
+        seen |= pairs
+        slots.append(places)
+        owned.append(pairs)
+    most = max(map(len, slots))
+
+    def couple(number: int) -> str:
+        held = [f"_{i}" for i in slots[number]]
+        held += ["CAST(NULL AS DOUBLE)"] * (most - len(held))
+        named = ", ".join(f"{c} AS s{k}" for k, c in enumerate(held))
+        return f"struct({number} AS couple, {named})"
+
+    dealt = row.selectExpr(f"inline(array({', '.join(map(couple, range(len(slots))))}))")
+    mask = " | ".join(f"if(s{k} IS NULL, 0, {1 << k})" for k in range(most))
+    filled = dealt.selectExpr(
+        "couple", f"{mask} AS mask", *[f"coalesce(s{k}, 0D) AS s{k}" for k in range(most)]
+    )
+    places = [(k, m) for k in range(most) for m in range(k, most)]
+    grouped = filled.groupBy("couple", "mask").agg(
+        F.expr("CAST(count(1) AS DOUBLE) AS n"),
+        *[F.expr(f"sum(s{k}) AS t{k}") for k in range(most)],
+        *[F.expr(f"sum(s{k} * s{m}) AS p{k}_{m}") for k, m in places],
+    )
+
+    def entry(k: int, m: int) -> str:
+        # The columns of the pair of slots in each couple; -1 where it does not answer for it.
+        def column(at: int) -> str:
+            known = [
+                p[at] if max(k, m) < len(p) and (p[k], p[m]) in own else -1
+                for p, own in zip(slots, owned)
+            ]
+            return f"get(array({', '.join(map(str, known))}), couple)"
+
+        bits = 1 << k | 1 << m
+        sums = {"n": "n", "x": f"t{k}", "y": f"t{m}", "xx": f"p{k}_{k}", "yy": f"p{m}_{m}", "xy": f"p{k}_{m}"}
+        held = ", ".join(f"if(mask & {bits} = {bits}, {c}, 0D) AS {name}" for name, c in sums.items())
+        return f"struct({column(k)} AS i, {column(m)} AS j, {held})"
 
-    cells = [cell(i, j, f"_{i}_{j}") for i, j in places]
-    cells += [cell(j, i, f"_{i}_{j}") for i, j in places if i != j]
-    return found.select(F.inline(F.array(*cells)))
+    entries = ", ".join(entry(k, m) for k, m in places)
+    return grouped.selectExpr(f"inline(array({entries}))").filter("i >= 0")
