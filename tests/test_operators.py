@@ -2,12 +2,14 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter import operators as op
 from blotter.functions import coerce_int, finite_or_zero, format_ts, parse_point, parse_ts, pct
+from blotter.operators.ordered import _sliced
 
 
 def values(df, *cols):
@@ -280,8 +282,8 @@ def test_hotspots(table):
 # ---- order statistics and profiles ------------------------------------------------------------
 
 
-@pytest.mark.parametrize("accuracy", [50, 100_000])
-def test_exact_quantiles(table, accuracy):
+@pytest.mark.parametrize("digits, few", [(16, 3), (1024, 100_000)])
+def test_exact_quantiles(table, digits, few):
     rng = np.random.default_rng(5)
     data = {
         "even": rng.uniform(0, 1, 4000),
@@ -292,7 +294,7 @@ def test_exact_quantiles(table, accuracy):
     df = table(list(zip(*[map(float, v) for v in data.values()])), ", ".join(f"{c} double" for c in data))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
     for column, prob, value in values(
-        op.exact_quantiles(df, list(data), probs, accuracy), "column", "prob", "value"
+        op.exact_quantiles(df, list(data), probs, digits, few), "column", "prob", "value"
     ):
         assert value == pytest.approx(np.quantile(data[column], prob), abs=1e-9), (column, prob)
 
@@ -302,13 +304,91 @@ def test_running_totals(table, descending):
     rng = np.random.default_rng(6)
     scores = np.where(rng.uniform(0, 1, 3000) < 0.35, 0.5, rng.normal(0, 1, 3000).round(2))
     df = table([(float(s),) for s in scores], "s double")
-    got = op.running_totals(df, "s", {"n": F.count(F.lit(1))}, descending, slices=16)
+    got = op.running_totals(df, "s", {"n": F.count(F.lit(1))}, descending, slice_points=16)
     for s, n, cum in values(got, "s", "n", "cum_n"):
         assert n == (scores == s).sum()
         assert cum == ((scores >= s) if descending else (scores <= s)).sum()
     assert got.count() == len(set(scores))
 
 
+def test_a_shared_value_does_not_hold_all_slices(table, spark):
+    """99.9 % of the rows share one score; the others still spread over many ranges."""
+    many = spark.range(200_000).selectExpr("IF(id < 199800, 0.5D, id / 200000D) AS s")
+    got = op.running_totals(many, "s", {"n": F.count(F.lit(1))}, slice_points=20)
+    rows = sorted(values(got, "s", "n", "cum_n"))
+    assert [r[2] for r in rows] == list(np.cumsum([r[1] for r in rows]))
+    assert len(rows) == 201 and rows[0] == (0.5, 199_800, 199_800)
+    slices = _sliced(many.groupBy("s").count(), "s", [], 20).groupBy("_slice").count()
+    sizes = [r["count"] for r in slices.collect()]
+    assert len(sizes) > 8 and max(sizes) <= 40
+
+
+def test_running_totals_of_groups(table):
+    rng = np.random.default_rng(8)
+    data = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 60, 400)]
+    data += [("single", 1.0)]
+    df = table(data, "g string, s double")
+    got = op.running_totals(df, "s", {"n": F.count(F.lit(1))}, by=["g"], slice_points=7)
+    found = {(g, s): (n, cum) for g, s, n, cum in values(got, "g", "s", "n", "cum_n")}
+    assert found == {
+        (g, s): (data.count((g, s)), sum(h == g and v <= s for h, v in data)) for g, s in set(data)
+    }
+    crowd = table([(i, 1.0) for i in range(101)], "g int, s double")
+    with pytest.raises(Exception, match="more than 100 groups"):
+        op.running_totals(crowd, "s", {"n": F.count(F.lit(1))}, by=["g"]).collect()
+
+
+def test_quantiles_of_extreme_values(table):
+    inf, tiny, most = float("inf"), 5e-324, 1.7976931348623157e308
+    rng = np.random.default_rng(9)
+    n = 3000
+    data = {
+        "same": np.full(n, 3.5),
+        "distinct": rng.permutation(n).astype(float),
+        "ratio": np.exp(rng.uniform(-700, 700, n)) * rng.choice([-1, 1], n),
+        "wide": rng.choice([-1.7e308, 0.0, 1.7e308], n),
+        "crowded": np.where(rng.random(n) < 0.99, 0.1, rng.random(n)),
+        "infinite": rng.choice([inf, -inf, 1.0, most], n),
+        "tiny": rng.integers(0, 100, n) * tiny,
+        "zeros": rng.choice([0.0, -0.0], n),
+    }
+    df = table(list(zip(*[map(float, v) for v in data.values()])), ", ".join(f"{c} double" for c in data))
+    probs = [0.0, 0.1, 0.5, 0.75, 0.999, 1.0]
+    for column, prob, value in values(op.exact_quantiles(df, list(data), probs, 32, 40), "column", "prob", "value"):
+        ordered, rank = np.sort(data[column]), (n - 1) * prob
+        low, high = ordered[math.floor(rank)], ordered[math.ceil(rank)]
+        want = low if low == high else low + (high - low) * (rank - math.floor(rank))
+        assert value == pytest.approx(want, rel=1e-12) or (value != value and want != want), (column, prob)
+
+
+def test_a_million_equal_and_a_million_distinct_values(spark):
+    df = spark.range(1_000_000).selectExpr("7D AS same", "CAST(id * 48271 % 1000003 AS DOUBLE) AS mixed")
+    ordered = sorted(i * 48271 % 1000003 for i in range(1_000_000))
+    found = {(c, p): v for c, p, v in values(op.exact_quantiles(df, df.columns, [0.5, 0.9]), "column", "prob", "value")}
+    assert found["same", 0.5] == found["same", 0.9] == 7.0
+    assert found["mixed", 0.5] == (ordered[499_999] + ordered[500_000]) / 2
+    low, high = ordered[899_999], ordered[900_000]
+    assert found["mixed", 0.9] == pytest.approx(low + (high - low) * (999_999 * 0.9 - 899_999))
+
+
+@pytest.mark.parametrize("width", [1, 5, 16, 40])
+def test_correlations_of_columns_with_gaps(spark, width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(400, width)) + 1e6
+    x[:, -1] += x[:, 0]
+    x[rng.random(x.shape) < 0.1] = np.nan
+    if width > 4:
+        x[:, 2] = 5.0
+        x[:200, 3], x[200:, 4] = np.nan, np.nan
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(width)])
+    want = frame.corr()
+    rows = op.corr_matrix(spark.createDataFrame(frame)).collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == width * width
+    for r in rows:
+        expected = want.loc[r.a, r.b]
+        assert (r.r is None and np.isnan(expected)) or r.r == pytest.approx(expected, abs=1e-7)
+
+
 def test_describe_and_profile(table):
     df = table([(0.0, "a"), (1.0, None), (2.0, "b"), (3.0, None), (None, "c")], "x double, s string")
     stats = {s: v for _, s, v in values(op.describe(df), "column", "stat", "value")}
@@ -371,12 +451,12 @@ def test_an_outlier_that_asks_for_too_many_bins_is_an_error(spark):
         op.histogram(df, bins="auto").collect()
 
 
-@pytest.mark.parametrize("accuracy", [100, 1000])
-def test_quantiles_of_few_and_many_rows(spark, accuracy):
+@pytest.mark.parametrize("few", [1, 1000])
+def test_quantiles_of_few_and_many_rows(spark, few):
     for n in (1, 2, 3, 50, 5000):
         df = spark.range(n).selectExpr("CAST(id * id % 977 AS DOUBLE) AS x")
         values = sorted(i * i % 977 for i in range(n))
-        for r in op.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.99, 1.0], accuracy).collect():
+        for r in op.exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.99, 1.0], few=few).collect():
             rank = (n - 1) * r.prob
             low, part = int(rank), rank - int(rank)
             high = values[min(low + 1, n - 1)]
