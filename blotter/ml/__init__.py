@@ -12,6 +12,7 @@ from blotter.ml.features import (
 )
 from blotter.ml.metrics import (
     classification_report,
+    compare_models,
     confusion_matrix,
     headline_scores,
     roc_auc,
@@ -21,10 +22,13 @@ from blotter.ml.models import (
     LOGISTIC_GRIDS,
     TREE_GRIDS,
     GridSearch,
+    TreeSearch,
+    logistic_optimality,
     logistic_search,
     score,
     tree_search,
 )
 from blotter.ml.neighbours import KNN_GRID, knn_classify, knn_grid, knn_join
+from blotter.ml.trees import apply_tree, grow_trees
 
 __all__ = [name for name in dir() if not name.startswith("_")]

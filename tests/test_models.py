@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from blotter import ml
-from blotter.ml.models import _leaf_share
 from blotter.ml.neighbours import WIDE_GROUP_SALTS
 from blotter.storage import materialize, shared_dir
 
@@ -236,8 +235,155 @@ def test_rows_with_missing_features_are_classified(table):
     assert ml.knn_classify(asked, empty, ["a", "b"], "id", "label", 1).count() == 3
 
 
-def test_smallest_leaf_is_allowed_in_heavier_folds():
-    assert _leaf_share(2, 98) * 100 < 2
-    assert _leaf_share(2, 98) * 98 > 1
-    with pytest.raises(ValueError):
-        _leaf_share(5, 8)
+def grown(nodes):
+    return {r.node: r for r in nodes.collect()}
+
+
+def brute_tree(rows, depth, leaf, node=1):
+    """Node -> (n, ones, feature, value) of (features..., label) rows."""
+    n, ones = len(rows), sum(r[-1] for r in rows)
+
+    def gini(part):
+        p = sum(r[-1] for r in part) / len(part)
+        return 2 * p * (1 - p)
+
+    best = (0, None, None)
+    for i in range(len(rows[0]) - 1) if depth else ():
+        for v in sorted({r[i] for r in rows if r[i] is not None}):
+            has = [r for r in rows if r[i] == v]
+            rest = [r for r in rows if r[i] != v]
+            if len(has) >= leaf and len(rest) >= max(leaf, 1):
+                gain = round(gini(rows) - len(has) / n * gini(has) - len(rest) / n * gini(rest), 12)
+                if gain > best[0]:
+                    best = (gain, i, v)
+    out = {node: (n, ones, best[1], best[2])}
+    if best[1] is not None:
+        for side in (0, 1):
+            part = [r for r in rows if (r[best[1]] == best[2]) == bool(side)]
+            out |= brute_tree(part, depth - 1, leaf, 2 * node + side)
+    return out
+
+
+@pytest.mark.parametrize("depth, leaf", [(1, 1), (4, 1), (6, 7)])
+def test_trees_match_brute_force(rows, depth, leaf):
+    data, df = rows
+    cells = ml.compress(df, [*FEATURES, "label"])
+    nodes = grown(ml.grow_trees(cells, FEATURES, max_depth=depth, min_leaf=leaf))
+    want = brute_tree([r[1:] for r in data], depth, leaf)
+    assert {
+        i: (r.n, r.ones, None if r.feature is None else FEATURES.index(r.feature), r.value)
+        for i, r in nodes.items()
+    } == want
+    assert all(r.parent == (i // 2 if i > 1 else None) for i, r in nodes.items())
+    if leaf > 1:
+        assert all(r.n >= leaf for r in nodes.values())
+
+
+def test_a_stump_equals_the_one_of_mllib(rows):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    _, df = rows
+    cells = ml.compress(df, [*FEATURES, "label"])
+    encoding = ml.encoder(FEATURES).fit(cells)
+    stump = DecisionTreeClassifier(maxDepth=1, weightCol="weight", impurity="gini").fit(encoding.transform(cells))
+    theirs = stump.transform(encoding.transform(cells)).select(*FEATURES, "label", "probability")
+    mine = ml.apply_tree(ml.grow_trees(cells, FEATURES, max_depth=1), cells, FEATURES)
+    both = theirs.join(mine, [*FEATURES, "label"]).collect()
+    assert len(both) == cells.count()
+    assert all(r.score == pytest.approx(r.probability[1]) for r in both)
+
+
+def test_the_tree_grid_matches_single_trees(rows):
+    from blotter.ml.trees import grid_accuracy
+
+    data, df = rows
+    folds = ml.folds_by_hash(df, "id", 3)
+    fold_of = {r.id: r.fold for r in folds.collect()}
+    cells = ml.compress(folds, [*FEATURES, "label", "fold"])
+    settings = {"max_depth": [1, 3], "min_leaf": [1, 9]}
+    found = {(r.max_depth, r.min_leaf): r.accuracy for r in grid_accuracy(cells, FEATURES, settings, 3).collect()}
+
+    def accuracy(depth, leaf, f):
+        tree = brute_tree([r[1:] for r in data if fold_of[r[0]] != f], depth, leaf)
+        held = [r[1:] for r in data if fold_of[r[0]] == f]
+        right = 0
+        for r in held:
+            node = 1
+            while tree[node][2] is not None:
+                node = 2 * node + (r[tree[node][2]] == tree[node][3])
+            right += (2 * tree[node][1] > tree[node][0]) == r[-1]
+        return right / len(held)
+
+    for (depth, leaf), value in found.items():
+        assert value == pytest.approx(np.mean([accuracy(depth, leaf, f) for f in range(3)])), (depth, leaf)
+    assert len(found) == 4
+
+
+def test_trees_of_one_class_missing_values_and_no_rows(table):
+    schema = "a string, b string, label int, weight double"
+    pure = grown(ml.grow_trees(table([("x", "y", 1, 2.0), ("z", None, 1, 3.0)], schema), ["a", "b"]))
+    assert [(r.n, r.ones, r.feature) for r in pure.values()] == [(5.0, 5.0, None)]
+    gaps = table([(None, "y", 1, 2.0), (None, None, 0, 3.0), ("x", None, 0, 1.0)], schema)
+    tree = ml.grow_trees(gaps, ["a", "b"])
+    assert {(r.feature, r.value) for r in grown(tree).values() if r.depth == 0} == {("b", "y")}
+    assert {(r.label, r.prediction) for r in ml.apply_tree(tree, gaps, ["a", "b"]).collect()} == {(0, 0), (1, 1)}
+    assert ml.grow_trees(table([], schema), ["a", "b"]).count() == 0
+
+
+def test_a_logistic_fit_is_the_optimum(rows):
+    _, df = rows
+    search = ml.logistic_search(df, FEATURES, "label", "id", {"C": [0.5], "folds": 3})
+    slopes = ml.logistic_optimality(search, df, "label").collect()
+    values = {(f, r[f]) for f in FEATURES for r in df.select(f).distinct().collect()}
+    assert {(r.feature, r.value) for r in slopes} >= {v for v in values if v[1] is not None}
+    total = df.count()
+    assert [r.n for r in slopes if r.feature is None] == [total]
+    assert all(abs(r.residual) < 1e-4 * total for r in slopes)
+    away = search.model.coefficients.toArray()
+    search.best = {"C": 0.05}
+    assert max(abs(r.residual) for r in ml.logistic_optimality(search, df, "label").collect()) > 1 and len(away)
+
+
+@pytest.mark.parametrize("search", [
+    lambda df: ml.logistic_search(df, ["a", "gone"], "label", "id", {"C": [1.0], "folds": 2}),
+    lambda df: ml.tree_search(df, ["a", "gone"], "label", "id", {"max_depth": [2], "min_leaf": [1], "folds": 2}),
+])
+def test_a_feature_without_values_is_left_out(table, search):
+    df = table([(i, "xy"[i % 2], None, i % 2) for i in range(40)], "id long, a string, gone string, label int")
+    found = search(df)
+    assert list(found.features) == ["a"]
+    scored = ml.score(found, df, "id", "label").collect()
+    assert len(scored) == 40 and all(r.label == r.prediction for r in scored)
+    with pytest.raises(ValueError, match="no feature"):
+        search(df.withColumn("a", F.lit(None).cast("string")))
+
+
+def test_every_row_is_in_the_confusion_matrix(table):
+    df = table([(1, 1), (None, 1), (0, None), (2, 0)], "label int, prediction int")
+    cells = {(r.label, r.prediction): r.n for r in ml.confusion_matrix(df).collect()}
+    assert sum(cells.values()) == 4
+    assert cells == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 1, (None, 1): 1, (0, None): 1, (None, 0): 1}
+    lines = {r["class"]: r for r in ml.classification_report(df).collect()}
+    assert lines["0"].support == 1 and lines["0"].recall == 0.0 and lines["accuracy"].f1 == 0.5
+
+
+def test_models_are_compared_side_by_side(table):
+    rng = np.random.default_rng(4)
+    data = []
+    for model, side in (("a", "train"), ("a", "test"), ("b", "test")):
+        for _ in range(300):
+            y, s = int(rng.random() < 0.4), round(float(rng.random()), 2)
+            data.append((model, side, y, int(s + y / 3 > 0.6), min(s + y / 3, 1.0)))
+    scores = table(data, "model string, side string, label int, prediction int, score double")
+    found = {(r.model, r.side): r for r in ml.compare_models(scores).collect()}
+    assert len(found) == 3
+    for (model, side), r in found.items():
+        alone = scores.filter((F.col("model") == model) & (F.col("side") == side))
+        head = ml.headline_scores(alone).first()
+        for measure in ("accuracy", "precision_macro", "recall_macro", "f1_positive"):
+            assert r[measure] == pytest.approx(head[measure])
+        assert r.auc == pytest.approx(ml.roc_auc(alone).first().auc) and r.rows == 300
+        curve = ml.roc_curve(scores, by=["model", "side"]).filter(
+            (F.col("model") == model) & (F.col("side") == side)
+        )
+        assert sorted(tuple(p)[2:] for p in curve.collect()) == sorted(map(tuple, ml.roc_curve(alone).collect()))
