@@ -28,7 +28,7 @@ from blotter.ml.models import (
     score,
     tree_search,
 )
-from blotter.ml.neighbours import KNN_GRID, knn_classify, knn_grid, knn_join
+from blotter.ml.neighbours import KNN_GRID, complete_features, knn_classify, knn_grid, knn_join
 from blotter.ml.trees import apply_tree, grow_trees
 
 __all__ = [name for name in dir() if not name.startswith("_")]

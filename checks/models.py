@@ -1,6 +1,6 @@
 """Splits, encodings, scores, neighbours and classifiers."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter import ml, plans
@@ -76,6 +76,19 @@ _MODEL_ROWS = (
 )
 
 
+def _filled_sql(train: str) -> str:
+    """`rows` whose missing features have the commonest value of the rows in `train`."""
+    mode = (
+        "(SELECT {0} FROM found WHERE " + train + " AND {0} IS NOT NULL GROUP BY {0} "
+        "ORDER BY count(*) DESC, {0} LIMIT 1)"
+    )
+    filled = ", ".join(f"coalesce({f}, {mode.format(f)}) AS {f}" for f in plans.MODEL_FEATURES)
+    return (
+        _MODEL_ROWS.replace(", rows AS (", ", found AS (")
+        + f", rows AS (SELECT ID, {filled}, label, in_train FROM found) "
+    )
+
+
 @query(
     _MODEL_ROWS + "SELECT Primary_Type, Domestic, label, CAST(count(*) AS DOUBLE) AS weight "
     "FROM rows GROUP BY 1, 2, 3"
@@ -196,11 +209,11 @@ _UNSEEN = " + ".join(
 )
 
 
-def _nearest_sql(k: int) -> str:
-    """A CTE `near`: the k nearest training rows of every combination of test features."""
+def _nearest_sql(k: int, asked: str = "NOT in_train") -> str:
+    """A CTE `near`: the k nearest training rows of every combination of features of `asked`."""
     return (
-        _MODEL_ROWS
-        + f", q AS (SELECT DISTINCT {_FEATURES} FROM rows WHERE NOT in_train), "
+        _filled_sql("in_train")
+        + f", q AS (SELECT DISTINCT {_FEATURES} FROM rows WHERE {asked}), "
         + f"pairs AS (SELECT {', '.join('q.' + f for f in plans.MODEL_FEATURES)}, "
         + f"b.ID AS neighbour, b.label, sqrt(2.0::DOUBLE * ({_DIFFERING}) - ({_UNSEEN})) AS distance "
         + "FROM q, rows b WHERE b.in_train), near AS (SELECT * FROM (SELECT *, "
@@ -233,6 +246,8 @@ def _vote_sql(weights: str) -> str:
 )
 def knn_topk(t: Tables) -> DataFrame:
     train, test = _split(t)
+    modes = ml.mode_values(train, plans.MODEL_FEATURES)
+    train, test = (ml.complete_features(x, modes, plans.MODEL_FEATURES) for x in (train, test))
     near = ml.knn_join(test, train, plans.MODEL_FEATURES, "ID", "label", 10)
     return rounded(near, "distance")
 
@@ -288,45 +303,267 @@ def knn_auc(t: Tables) -> DataFrame:
     return rounded(ml.roc_auc(_with_labels(found, test)), "auc")
 
 
-@query()
+def _knn_grid_sql() -> str:
+    """Fold accuracies of all settings, from the 15 nearest rows of the other folds."""
+    differing = _DIFFERING
+    unseen = " + ".join(
+        f"(NOT EXISTS (SELECT 1 FROM seen s WHERE s.fold = q.fold AND s.f = '{f}' AND s.v = q.{f}))::INTEGER"
+        for f in plans.MODEL_FEATURES
+    )
+    seen = " UNION ".join(
+        f"SELECT DISTINCT g.fold, '{f}' AS f, {f} AS v FROM known b, (SELECT range AS fold FROM range(5)) g "
+        "WHERE b.fold <> g.fold"
+        for f in plans.MODEL_FEATURES
+    )
+    asked = ", ".join("q." + f for f in plans.MODEL_FEATURES)
+    settings = ", ".join(
+        f"({k}, '{w}')" for k in ml.KNN_GRID["k"] for w in ml.KNN_GRID["weights"]
+    )
+    weight = (
+        "CASE WHEN weights = 'uniform' THEN 1.0::DOUBLE WHEN closest = 0 "
+        "THEN (distance = 0)::INTEGER::DOUBLE ELSE 1.0 / distance END"
+    )
+    return (
+        _filled_sql("in_train")
+        + f", known AS (SELECT *, CAST(floor({_unit_sql('ID', 7)} * 5) AS INTEGER) AS fold "
+        "FROM rows WHERE in_train), "
+        f"seen AS ({seen}), q AS (SELECT DISTINCT fold, {_FEATURES} FROM known), "
+        f"u AS (SELECT q.*, {unseen} AS unseen FROM q), "
+        f"pairs AS (SELECT q.fold, {asked}, min({{'d': ({differing}), 'id': b.ID, 'y': b.label}}, 15) AS near "
+        f"FROM q JOIN known b ON b.fold <> q.fold GROUP BY q.fold, {asked}), "
+        f"near AS (SELECT fold, {_FEATURES}, unnest(near) AS m, "
+        "unnest(range(1, len(near) + 1)) AS rank FROM pairs), "
+        f"dist AS (SELECT near.fold, {', '.join('near.' + f for f in plans.MODEL_FEATURES)}, rank, "
+        "m.y AS label, sqrt(2.0::DOUBLE * m.d - unseen) AS distance FROM near JOIN u USING "
+        f"(fold, {_FEATURES})), "
+        f"votes AS (SELECT fold, {_FEATURES}, k, weights, "
+        f"coalesce(sum({weight}) FILTER (WHERE label = 1), 0) AS ones, "
+        f"coalesce(sum({weight}) FILTER (WHERE label = 0), 0) AS zeros FROM (SELECT *, "
+        f"min(distance) OVER (PARTITION BY fold, {_FEATURES}) AS closest FROM dist) x, "
+        f"(VALUES {settings}) v(k, weights) WHERE rank <= k GROUP BY ALL), "
+        "folds AS (SELECT fold, k, weights, avg((label = (ones > zeros)::INTEGER)::INTEGER) AS accuracy "
+        f"FROM known JOIN votes USING (fold, {_FEATURES}) GROUP BY ALL), "
+        "report AS (SELECT CAST(k AS INTEGER) AS k, weights, avg(accuracy) AS accuracy FROM folds GROUP BY ALL) "
+        "SELECT k, weights, round(accuracy, 6) AS accuracy, row_number() OVER "
+        "(ORDER BY accuracy DESC, k, weights DESC) = 1 AS is_best FROM report"
+    )
+
+
+@query(_knn_grid_sql())
 def knn_grid(t: Tables) -> DataFrame:
     train, _ = _split(t)
     return rounded(ml.knn_grid(train, plans.MODEL_FEATURES, "ID", "label"), "accuracy")
 
 
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training rows, test rows, and both with their side."""
+    train, test = _split(t)
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return train, test, both
+
+
+def _knn_both_sides(t: Tables) -> DataFrame:
+    """(model, side, label, prediction, score) of training and test rows."""
+    train, _, both = _sides(t)
+    found = ml.knn_classify(both, train, plans.MODEL_FEATURES, "ID", "label", 8)
+    return both.select("ID", "side", "label").join(found, "ID").select(
+        F.lit("neighbours").alias("model"), "side", "label", "prediction", "score"
+    )
+
+
+_BOTH_SIDES = (
+    _nearest_sql(8, "true") + _vote_sql("uniform")
+    + ", s AS (SELECT 'neighbours' AS model, CASE WHEN in_train THEN 'train' ELSE 'test' END AS side, "
+    f"label, prediction, score FROM rows JOIN decided USING ({_FEATURES})), "
+    "g AS (SELECT model, side, score, count(*) FILTER (WHERE label = 1) AS pos, "
+    "count(*) FILTER (WHERE label = 0) AS neg FROM s GROUP BY ALL), "
+    "r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g "
+    "WINDOW w AS (PARTITION BY model, side ORDER BY score DESC)) "
+)
+_COMPARED = ["accuracy", "precision_macro", "recall_macro", "f1_positive", "auc"]
+
+
+@query(
+    _BOTH_SIDES + ", c AS (SELECT model, side, count(*) AS n, "
+    + ", ".join(
+        f"count(*) FILTER (WHERE label = {c} AND prediction = {c})::DOUBLE AS h{c}, "
+        f"count(*) FILTER (WHERE prediction = {c}) AS g{c}, count(*) FILTER (WHERE label = {c}) AS s{c}"
+        for c in (0, 1)
+    )
+    + " FROM s GROUP BY ALL), p AS (SELECT *, coalesce(h0 / nullif(g0, 0), 0) AS p0, "
+    "coalesce(h1 / nullif(g1, 0), 0) AS p1, coalesce(h0 / nullif(s0, 0), 0) AS r0, "
+    "coalesce(h1 / nullif(s1, 0), 0) AS r1 FROM c), "
+    "a AS (SELECT model, side, sum(neg * (tp - pos / 2.0::DOUBLE)) / "
+    "(sum(neg)::DOUBLE * sum(pos)::DOUBLE) AS auc FROM r GROUP BY ALL) "
+    "SELECT model, side, n AS rows, round((h0 + h1) / n, 6) AS accuracy, "
+    "round((p0 + p1) / 2, 6) AS precision_macro, round((r0 + r1) / 2, 6) AS recall_macro, "
+    "round(coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), 6) AS f1_positive, round(auc, 6) AS auc "
+    "FROM p JOIN a USING (model, side)"
+)
+def knn_comparison(t: Tables) -> DataFrame:
+    return rounded(ml.compare_models(_knn_both_sides(t)), *_COMPARED)
+
+
+@query(
+    _BOTH_SIDES + ", t AS (SELECT model, side, sum(pos) AS pos, sum(neg) AS neg FROM g GROUP BY ALL) "
+    "SELECT model, side, round(score, 6) AS threshold, round(fp / t.neg::DOUBLE, 6) AS fpr, "
+    "round(tp / t.pos::DOUBLE, 6) AS tpr FROM r JOIN t USING (model, side) "
+    "UNION ALL SELECT model, side, NULL, 0.0, 0.0 FROM t"
+)
+def knn_curves(t: Tables) -> DataFrame:
+    curve = ml.roc_curve(_knn_both_sides(t), by=["model", "side"])
+    start = F.col("threshold") == float("inf")
+    curve = curve.withColumn("threshold", F.when(~start, F.col("threshold")))
+    return rounded(curve, "threshold", "fpr", "tpr")
+
+
 # ---- classifiers -----------------------------------------------------------------------
 
 
-def _logistic(t: Tables) -> tuple[ml.GridSearch, DataFrame, DataFrame]:
-    train, test = _split(t)
-    return ml.logistic_search(train, plans.MODEL_FEATURES, "label", "ID"), train, test
+_SEARCHES: dict[tuple, object] = {}
 
 
-def _tree(t: Tables) -> tuple[ml.GridSearch, DataFrame, DataFrame]:
-    train, test = _split(t)
-    return ml.tree_search(train, plans.MODEL_FEATURES, "label", "ID"), train, test
+def _fitted(t: Tables, search, grid: dict):
+    """The result of a search, kept for the queries of one session on one folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder, search.__name__, repr(grid))
+    if key not in _SEARCHES:
+        train, _ = _split(t)
+        _SEARCHES[key] = search(train, plans.MODEL_FEATURES, "label", "ID", grid)
+    return _SEARCHES[key]
+
+
+def _logistic(t: Tables) -> ml.GridSearch:
+    return _fitted(t, ml.logistic_search, ml.LOGISTIC_GRIDS[0])
+
+
+def _tree(t: Tables) -> ml.TreeSearch:
+    return _fitted(t, ml.tree_search, ml.TREE_GRIDS[0])
 
 
 @query()
 def logistic_grid(t: Tables) -> DataFrame:
-    return _logistic(t)[0].report
+    return _logistic(t).report
+
+
+@query()
+def logistic_grid_fine(t: Tables) -> DataFrame:
+    return _fitted(t, ml.logistic_search, ml.LOGISTIC_GRIDS[1]).report
 
 
 @query()
 def tree_grid(t: Tables) -> DataFrame:
-    return _tree(t)[0].report
+    return _tree(t).report
+
+
+@query()
+def tree_grid_fine(t: Tables) -> DataFrame:
+    return _fitted(t, ml.tree_search, ml.TREE_GRIDS[1]).report
 
 
 @query()
 def logistic_scores(t: Tables) -> DataFrame:
-    search, _, test = _logistic(t)
-    return ml.score(search, test, "ID", "label")
+    return ml.score(_logistic(t), _split(t)[1], "ID", "label")
 
 
 @query()
 def tree_scores(t: Tables) -> DataFrame:
-    search, _, test = _tree(t)
-    return ml.score(search, test, "ID", "label")
+    return ml.score(_tree(t), _split(t)[1], "ID", "label")
+
+
+@query()
+def model_comparison(t: Tables) -> DataFrame:
+    return rounded(ml.compare_models(_all_scores(t)), *_COMPARED)
+
+
+@query()
+def model_curves(t: Tables) -> DataFrame:
+    return ml.roc_curve(_all_scores(t), by=["model", "side"])
+
+
+def _all_scores(t: Tables) -> DataFrame:
+    _, _, both = _sides(t)
+    scores = _knn_both_sides(t)
+    for model, search in (("logistic", _logistic(t)), ("tree", _tree(t))):
+        found = ml.score(search, both, "ID", "label").join(both.select("ID", "side"), "ID")
+        scores = scores.unionByName(
+            found.select(F.lit(model).alias("model"), "side", "label", "prediction", "score")
+        )
+    return scores
+
+
+# A fit is the optimum where every residual is 0: the SQL lists the coefficients and 0.
+@query(
+    _filled_sql("in_train")
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {f} AS value, count(*) AS n, 0.0::DOUBLE AS residual "
+        f"FROM rows WHERE in_train GROUP BY {f}"
+        for f in plans.MODEL_FEATURES
+    )
+    + " UNION ALL SELECT NULL, NULL, count(*), 0.0 FROM rows WHERE in_train"
+)
+def logistic_optimality(t: Tables) -> DataFrame:
+    train, _ = _split(t)
+    slopes = ml.logistic_optimality(_logistic(t), train, "label")
+    total = F.max(F.when(F.col("feature").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    mean = F.round(F.col("residual") / total, 4) + 0.0
+    return slopes.withColumn("residual", mean)
+
+
+def _tree_sql(depth: int) -> str:
+    """Nodes of the tree, one pair of CTEs a level."""
+    gini = "2 * ({0} / {1}) * (1.0::DOUBLE - {0} / {1})"
+    kinds = " UNION ALL ".join(
+        f"SELECT node, {i} AS f, {name} AS v, label FROM live{{0}}"
+        for i, name in enumerate(plans.MODEL_FEATURES)
+    )
+    own = "CASE f " + " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(plans.MODEL_FEATURES)) + " END"
+    ctes = [
+        f"live0 AS (SELECT CAST(1 AS BIGINT) AS node, {_FEATURES}, label FROM rows WHERE in_train)"
+    ]
+    for level in range(depth + 1):
+        whole = (
+            f"SELECT node, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS ones FROM live{level} GROUP BY node"
+        )
+        ctes.append(f"whole{level} AS (SELECT *, {gini.format('ones', 'n')} AS impurity FROM ({whole}) w)")
+        if level == depth:
+            break
+        after = (
+            f"(h / n * ({gini.format('ho', 'h')}) + (n - h) / n * "
+            f"({gini.format('(ones - ho)', '(n - h)')}))"
+        )
+        ctes.append(
+            f"split{level} AS (SELECT node, f, v, gain FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY node ORDER BY gain DESC, f, v) AS place FROM (SELECT node, f, v, "
+            f"round(impurity - {after}, 12) AS gain FROM (SELECT node, f, v, count(*)::DOUBLE AS h, "
+            f"sum(label)::DOUBLE AS ho FROM ({kinds.format(level)}) k GROUP BY node, f, v) c "
+            f"JOIN whole{level} USING (node) WHERE h < n) g WHERE gain > 0) p WHERE place = 1)"
+        )
+        ctes.append(
+            f"live{level + 1} AS (SELECT node * 2 + ({own} = v)::INTEGER AS node, {_FEATURES}, label "
+            f"FROM live{level} JOIN split{level} USING (node))"
+        )
+    names = "CASE f " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(plans.MODEL_FEATURES)) + " END"
+    levels = [
+        f"SELECT node, {level} AS depth, n, ones, impurity, "
+        + (f"{names} AS feature, v AS value, gain " if level < depth else "NULL, NULL, NULL ")
+        + f"FROM whole{level}" + (f" LEFT JOIN split{level} USING (node)" if level < depth else "")
+        for level in range(depth + 1)
+    ]
+    return (
+        _filled_sql("in_train") + ", " + ", ".join(ctes)
+        + " SELECT CAST(node AS BIGINT) AS node, CASE WHEN node > 1 THEN CAST(node // 2 AS BIGINT) END "
+        "AS parent, depth, n, ones, round(impurity, 9) AS impurity, feature, value, "
+        f"round(gain, 9) AS gain FROM ({' UNION ALL '.join(levels)}) x"
+    )
+
+
+@query(_tree_sql(3))
+def tree_nodes(t: Tables) -> DataFrame:
+    train, _ = _split(t)
+    train = ml.apply_modes(train, ml.mode_values(train, plans.MODEL_FEATURES), plans.MODEL_FEATURES)
+    cells = ml.compress(train, [*plans.MODEL_FEATURES, "label"])
+    nodes = ml.grow_trees(cells, plans.MODEL_FEATURES, max_depth=3)
+    return rounded(nodes.drop("held_n", "held_ones"), "impurity", "gain", digits=9)
 
 
 @query()

@@ -1,8 +1,9 @@
 """Incidents derived from the `orders` table, once for Spark and once for DuckDB.
 
 Every order becomes one raw incident, all columns text. Some dates, wards,
-areas, places and coordinates are bad or missing, depending on the status and
-priority of the order.
+areas, places, codes and coordinates are bad or missing, depending on the status and
+priority of the order, and some codes occur once, so that a test side has codes that the
+training side has not.
 """
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,10 @@ _SHARED = {
         "THEN '2020-13-45' ELSE {stamp} END"
     ),
     "Block": "concat('B', CAST(o_custkey % 500 AS {text}))",
-    "IUCR": "lpad(CAST(o_custkey % 400 AS {text}), 4, '0')",
+    "IUCR": (
+        "CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' THEN NULL "
+        "ELSE lpad(CAST(o_custkey % 400 AS {text}), 4, '0') END"
+    ),
     "Primary Type": "concat(substring(o_orderpriority, 3), ' ', CAST(o_custkey % 6 AS {text}))",
     "Description": "concat('D', CAST(o_custkey % 45 AS {text}))",
     "Location Description": (
@@ -39,7 +43,11 @@ _SHARED = {
         "CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN NULL "
         "ELSE lpad(CAST(o_custkey % 80 AS {text}), 2, '0') END"
     ),
-    "FBI Code": "lpad(CAST(o_custkey % 26 AS {text}), 2, '0')",
+    "FBI Code": (
+        "CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN NULL "
+        "WHEN o_orderkey % 331 = 0 THEN concat('U', CAST(o_orderkey AS {text})) "
+        "ELSE lpad(CAST(o_custkey % 26 AS {text}), 2, '0') END"
+    ),
     "X Coordinate": (
         "CASE WHEN {nowhere} THEN NULL "
         "ELSE CAST(1100000 + o_custkey * 7 % 90000 AS {text}) END"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blotter import ml
-from blotter.ml.neighbours import WIDE_GROUP_SALTS
+from blotter.ml import neighbours
 from blotter.storage import materialize, shared_dir
 
 FEATURES = ["a", "b", "c"]
@@ -128,7 +128,6 @@ def test_neighbours_of_a_query_without_any_match(table):
     assert [(r.neighbour, r.distance) for r in near] == [
         (i, pytest.approx(2**0.5)) for i in range(3)
     ]
-    assert WIDE_GROUP_SALTS > 1
 
 
 @pytest.mark.parametrize("weights", ["uniform", "distance"])
@@ -225,6 +224,34 @@ def test_an_unseen_value_is_all_zeros(table):
     assert [(r.neighbour, r.distance) for r in near] == [(1, 1.0), (2, pytest.approx(3**0.5))]
 
 
+@pytest.mark.parametrize("share", [2, 5, 100_000])
+def test_hot_groups_are_dealt_without_loss(rows, monkeypatch, share):
+    """Nearly all queries share two values, so a few groups get nearly all requests."""
+    monkeypatch.setattr(neighbours, "HOT_SHARE", share)
+    data, df = rows
+    base = df.filter("id % 3 <> 0")
+    asked = base.sparkSession.range(400).selectExpr(
+        "id + 5000 AS id", "IF(id % 50 = 0, 'x', 'hot') AS a", "IF(id % 80 = 0, 'y', '1') AS b",
+        "CAST(id AS string) AS c", "0 AS label",
+    )
+    near = ml.knn_join(asked, base, FEATURES, "id", "label", 3).collect()
+    assert len(near) == 1200
+    pool = [r for r in data if r[0] % 3]
+    seen = [{r[1 + i] for r in pool} for i in range(3)]
+    for r in near:
+        combo = (r.a, r.b, r.c)
+        unseen = sum(v not in s for v, s in zip(combo, seen))
+        order = sorted((sum(x != y for x, y in zip(combo, p[1:4])), p[0]) for p in pool)
+        apart, neighbour = order[r["rank"] - 1]
+        assert r.neighbour == neighbour and r.distance == pytest.approx((2 * apart - unseen) ** 0.5)
+
+
+def test_too_many_features_are_refused(table):
+    df = table([(1, *"abcdefghijklm", 1)], "id long, " + ", ".join(f"f{i} string" for i in range(13)) + ", label int")
+    with pytest.raises(ValueError, match="groups"):
+        ml.knn_join(df, df, [f"f{i}" for i in range(13)], "id", "label", 1)
+
+
 def test_rows_with_missing_features_are_classified(table):
     schema = "id long, a string, b string, label int"
     base = table([(1, "x", "y", 1), (2, "x", None, 1), (3, "v", "z", 0)], schema)
