@@ -18,16 +18,16 @@ are not looked at. An empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from blotter.llm.common import join_counted, map_batches, word_hashes, written
 from blotter.llm.registry import query, table
@@ -36,13 +36,22 @@ FILTERS = "ABCDE"
 #: A document fails A below this number of words, and B below this percentage of distinct ones.
 LEAST_WORDS, LEAST_DISTINCT = 200, 50
 #: It fails C above this percentage of capitals and D with any of these characters.
-MOST_CAPITALS, MARKS = 3, "#$%&*|"
+MOST_CAPITALS, MARKS = 3, b"#$%&*|"
 #: Bytes of text and words of one shard; one document may exceed both.
 SHARD_BYTES, SHARD_WORDS = 8 << 20, 50_000
 #: Words (of all shards) that one bucket of the dictionary gets on average.
 BUCKET_WORDS = 400_000
 
-_CAPITALS = bytes(range(ord("A"), ord("Z") + 1)).decode()
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
+
+
+def _marks(text: str, body: bytes) -> dict:
+    """Whether a text fails C and D."""
+    capitals = len(body) - len(body.translate(None, _CAPITALS))
+    return {
+        "_c": capitals * 100 > len(text) * MOST_CAPITALS,
+        "_d": len(body.translate(None, MARKS)) < len(body),
+    }
 
 
 class Shard:
@@ -73,23 +82,20 @@ class Shard:
         return self.bytes >= SHARD_BYTES or len(self.words) >= most_words
 
     def record(self, name: int) -> tuple:
-        """Words by hash, columns ascending within each row, integers as narrow as they fit."""
+        """Words by hash, one a line; integers as narrow as they fit."""
         words = list(self.words)
-        order = np.lexsort((np.arange(len(words)), word_hashes(words)))
+        order = np.argsort(word_hashes(words), kind="stable")
         rank = np.empty(len(words), "<u4")
         rank[order] = np.arange(len(words), dtype="<u4")
         blank = [np.empty(0, "<u4")]
-        columns, counts = np.concatenate(blank + self.columns), np.concatenate(blank + self.counts)
-        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        columns = rank[columns]
-        sort = np.lexsort((columns, row))
         return (
             name,
             self.rows,
             np.cumsum([0, *self.sizes]).astype("<i8").tobytes(),
-            _packed(columns[sort]),
-            _packed(counts[sort]),
-            [words[i] for i in order.tolist()],
+            _packed(rank[np.concatenate(blank + self.columns)]),
+            _packed(np.concatenate(blank + self.counts)),
+            len(words),
+            b"\n".join([words[i] for i in order.tolist()]),
         )
 
 
@@ -103,16 +109,20 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, f"<u{len(blob) // n if n else 1}")
 
 
-def csr_shards(docs: DataFrame, text: str, most_words: int = SHARD_WORDS) -> DataFrame:
+def csr_shards(
+    docs: DataFrame, text: str, most_words: int = SHARD_WORDS,
+    note: Callable[[str, bytes], dict] | None = None, noted: str = "",
+) -> DataFrame:
     """Written shards of `docs`: its other columns as `rows`, CSR parts and local words.
 
-    The words are `[^\\x20\\x09-\\x0D]+` of the whole texts; a document lies in one shard.
+    `note` gives further fields of a row, of the kinds in `noted`, from its text and the
+    text's bytes. The words are `[^\\x20\\x09-\\x0D]+` of the whole texts; a document lies in one shard.
     """
-    rest = docs.drop(text)
-    fields = rest.columns
-    kind = StructType().add("shard", "long").add("rows", ArrayType(rest.schema))
+    fields = docs.drop(text).columns
+    row = StructType(list(docs.drop(text).schema) + list(_struct(docs.sparkSession, noted)))
+    kind = StructType().add("shard", "long").add("rows", ArrayType(row))
     kind = kind.add("offsets", "binary").add("columns", "binary").add("counts", "binary")
-    kind = kind.add("words", ArrayType(BinaryType()))
+    kind = kind.add("n_words", "long").add("words", "binary")
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +137,11 @@ def csr_shards(docs: DataFrame, text: str, most_words: int = SHARD_WORDS) -> Dat
         for batch in batches:
             *attributes, texts = (c.to_pylist() for c in batch.columns)
             for *values, content in zip(*attributes, texts):
-                shard.add(dict(zip(fields, values)), (content or "").encode())
+                body = (content or "").encode()
+                attributes_of = dict(zip(fields, values))
+                if note is not None:
+                    attributes_of |= note(content or "", body)
+                shard.add(attributes_of, body)
                 if shard.full(most_words):
                     yield finished()
                     made, shard = made + 1, Shard()
@@ -137,29 +151,34 @@ def csr_shards(docs: DataFrame, text: str, most_words: int = SHARD_WORDS) -> Dat
     return written(docs.select(*fields, text).mapInArrow(run, kind), "csr-shards")
 
 
+def _struct(spark: SparkSession, kinds: str) -> StructType:
+    return spark.createDataFrame([], kinds).schema if kinds else StructType()
+
+
 def _bucketed(shards: DataFrame, bucket_words: int) -> tuple[DataFrame, int]:
     """((bucket, shard, words), number of buckets): a bucket is a range of word hashes."""
-    total = shards.agg(F.sum(F.size("words"))).first()[0] or 0
+    total = shards.agg(F.sum("n_words")).first()[0] or 0
     buckets = 1 + total // bucket_words
     bounds = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
 
     def make():
-        def each(names, lists):
-            for name, words in zip(names, lists):
+        def each(names, blobs):
+            for name, blob in zip(names, blobs):
+                words = blob.split(b"\n") if blob else []
                 cuts = np.searchsorted(word_hashes(words), bounds).tolist()
                 for bucket, (start, end) in enumerate(zip([0, *cuts], [*cuts, len(words)])):
                     if start < end:
-                        yield bucket, name, words[start:end]
+                        yield bucket, name, b"\n".join(words[start:end])
 
         return each
 
-    kind = "bucket int, shard long, words array<binary>"
+    kind = "bucket int, shard long, words binary"
     return map_batches(shards.select("shard", "words"), make, kind), buckets
 
 
 def _numbers(table: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]]:
     """The lists of words of one bucket and the place of each word in byte order."""
-    lists = table["words"].to_pylist()
+    lists = [blob.split(b"\n") for blob in table["words"].to_pylist()]
     return lists, {word: i for i, word in enumerate(sorted(set().union(*lists)))}
 
 
@@ -182,13 +201,14 @@ def dictionary(parts: DataFrame, buckets: int) -> DataFrame:
 def document_term_matrix(
     docs: DataFrame, text: str = "text", *, most_words: int = SHARD_WORDS,
     bucket_words: int = BUCKET_WORDS,
+    note: Callable[[str, bytes], dict] | None = None, noted: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """(shards, dictionary): CSR shards whose columns are the dictionary's ids.
 
-    A shard has `rows` (the other columns of `docs`), `offsets` (64-bit, one more than rows),
+    A shard has `rows` (the other columns of `docs` and what is noted), `offsets` (64-bit, one more than rows),
     `columns` (64-bit) and `counts` (unsigned, 1, 2 or 4 bytes), all little-endian.
     """
-    shards = csr_shards(docs, text, most_words)
+    shards = csr_shards(docs, text, most_words, note, noted)
     parts, buckets = _bucketed(shards, bucket_words)
 
     def numbered(part: pa.Table) -> pa.Table:
@@ -213,7 +233,7 @@ def document_term_matrix(
 
         return each
 
-    slim = shards.drop("words")
+    slim = shards.drop("words", "n_words")
     return map_batches(slim.join(told, "shard", "left"), make, slim.schema), dictionary(parts, buckets)
 
 
@@ -243,20 +263,12 @@ def failing_filters(
 ) -> DataFrame:
     """(id, part, fails, good, toxic) per document; `fails` has the letters of its filters."""
     body = F.coalesce(F.col("_text"), F.lit(""))
-    length = F.char_length(body)
-    capitals = length - F.char_length(F.translate(body, _CAPITALS, ""))
     slim = docs.select(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(lang), F.lit("")).alias("_part"),
         F.col(text).alias("_text"),
-    ).select(
-        "_id", "_part",
-        F.unhex(F.sha2(body.cast("binary"), 256)).alias("_digest"),
-        (capitals * 100 > length * MOST_CAPITALS).alias("_c"),
-        (F.char_length(F.translate(body, MARKS, "")) < length).alias("_d"),
-        "_text",
-    )
-    matrix, _ = document_term_matrix(slim, "_text")
+    ).withColumn("_digest", F.unhex(F.sha2(body.cast("binary"), 256)))
+    matrix, _ = document_term_matrix(slim, "_text", note=_marks, noted="_c boolean, _d boolean")
     rows = written(row_statistics(matrix), "audit-rows")
 
     texts = rows.groupBy("_digest").agg(
