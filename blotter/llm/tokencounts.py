@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from blotter.llm.common import join_counted, map_batches, written
 from blotter.llm.registry import query, table
-from blotter.storage import shared_dir
+from blotter.storage import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens above which a document is over the limit.
@@ -180,5 +180,6 @@ def _encoded(distinct: DataFrame, vocabulary: str) -> DataFrame:
 
 @query()
 def op13_token_counts(spark, sf_dir):
-    cache = f"{shared_dir(spark).rstrip('/')}/token-count-cache"
+    # Every run fills a cache of its own, so that it does all its work.
+    cache = new_path(spark, "token-count-cache")
     return count_tokens(table(spark, sf_dir, "documents"), cache)
