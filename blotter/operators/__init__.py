@@ -32,6 +32,8 @@ from blotter.operators.crosstab import (
     melt,
     minmax_within,
     on_all_days,
+    rolling_on_all_days,
+    rolling_runs,
     rolling_sum,
     top_columns_matrix,
     transpose,

@@ -133,6 +133,70 @@ def rolling_sum(
     return df.withColumn("rolling", F.when(enough, F.sum(value).over(frame)))
 
 
+def rolling_runs(daily: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """(runs, calendar): stretches of days over which a key's rolling total stays the same.
+
+    `daily` is a sparse matrix (row_key: a day or anything ordered, col_key, n). The calendar
+    (row_key, at) numbers the days that occur from 0. A count enters the total of its key on its
+    own day and leaves it `days` days later, so a key has at most two events per count,
+    and `runs` (col_key, first, last, n, rolling) one row per event day, `n` being the count on
+    the first day. No row is made for a day on which nothing changes.
+    """
+    counted = daily.filter(F.col("n") > 0)
+    # One row per day: bounded by the calendar.
+    dates = counted.select("row_key").distinct()
+    numbered = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("row_key")) - 1
+    calendar = dates.withColumn("at", numbered)
+    last = calendar.agg(F.max("at").alias("last")).scalar()
+    n = F.col("n")
+    events = counted.join(calendar, "row_key").select(
+        "col_key",
+        F.inline(
+            F.array(
+                F.struct(F.col("at").alias("first"), n.alias("n"), n.alias("_change")),
+                F.struct((F.col("at") + days).alias("first"), (n * 0).alias("n"), (-n).alias("_change")),
+            )
+        ),
+    )
+    # Every key starts at 0 on the first day.
+    starts = counted.select("col_key").distinct().select(
+        "col_key", F.lit(0).alias("first"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("_change")
+    )
+    changes = (
+        events.unionByName(starts)
+        .filter(F.col("first") <= last)
+        .groupBy("col_key", "first")
+        .agg(F.sum("n").alias("n"), F.sum("_change").alias("_change"))
+    )
+    along = Window.partitionBy("col_key").orderBy("first")
+    runs = changes.select(
+        "col_key",
+        "first",
+        (F.coalesce(F.lead("first").over(along), last + 1) - 1).alias("last"),
+        "n",
+        F.sum("_change").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(
+            "rolling"
+        ),
+    )
+    return runs, calendar
+
+
+def rolling_on_all_days(daily: DataFrame, days: int) -> DataFrame:
+    """(row_key, col_key, n, rolling) for every day that occurs and every key.
+
+    The totals come from `rolling_runs`; only this report spreads them over the days. They are
+    null before `days` days have passed.
+    """
+    runs, calendar = rolling_runs(daily, days)
+    each = runs.select("*", F.explode(F.sequence("first", "last")).alias("at"))
+    return each.join(calendar, "at").select(
+        "row_key",
+        "col_key",
+        F.when(F.col("at") == F.col("first"), F.col("n")).otherwise(0).alias("n"),
+        F.when(F.col("at") >= days - 1, F.col("rolling")).alias("rolling"),
+    )
+
+
 def zscore_within(cells: DataFrame, row: str = "row_key", value: str = "n") -> DataFrame:
     """Add `z`: (value - mean of its row) / standard deviation of its row.
 

@@ -134,8 +134,8 @@ def incidents_per_month(raw: DataFrame) -> DataFrame:
 
 def yearly_rolling_by_type(raw: DataFrame, days: int = 365) -> DataFrame:
     """Rolling total per type over the last `days` days that have incidents."""
-    daily = op.on_all_days(op.daily_counts(complete(raw), "Date", "Primary_Type"))
-    return op.rolling_sum(daily, "row_key", "n", days, ["col_key"])
+    daily = op.daily_counts(complete(raw), "Date", "Primary_Type")
+    return op.rolling_on_all_days(daily, days)
 
 
 def incidents_per_weekday(raw: DataFrame) -> DataFrame:

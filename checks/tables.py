@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blotter import operators as op
 from blotter import sources
@@ -74,6 +75,62 @@ def take_first(t: Tables) -> DataFrame:
     return sources.take_first(cols, 10000, "o_orderkey")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders LIMIT 10000")
+def first_rows_of_files(t: Tables) -> DataFrame:
+    found = sources.first_rows(t.spark, f"{t.folder}/orders.parquet", 10000)
+    return found.select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+_ORDER_TEXT = {
+    "o_orderkey": "CAST(o_orderkey AS VARCHAR)",
+    "o_custkey": "CAST(o_custkey AS VARCHAR)",
+    "o_orderstatus": "o_orderstatus",
+    "o_totalprice": "o_totalprice",
+    "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')",
+    "o_orderpriority": "o_orderpriority",
+}
+
+
+@query(f"SELECT {', '.join(f'{e} AS {c}' for c, e in _ORDER_TEXT.items())} FROM orders")
+def csv_mixed_headers(t: Tables) -> DataFrame:
+    """All columns, written in two orders and read together."""
+    path = new_path(t.spark, "csv")
+    orders = t.orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    even = F.col("o_orderkey") % 2 == 0
+    sources.write_csv(orders.filter(even), f"{path}/even")
+    backwards = orders.filter(~even).select(*reversed(orders.columns))
+    sources.write_csv(backwards.withColumn("further", F.lit("x")), f"{path}/odd")
+    read = sources.read_incidents_csv(t.spark, [f"{path}/even", f"{path}/odd"], required=list(_ORDER_TEXT))
+    return read.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
+@query(
+    "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 "
+    "UNION ALL SELECT 'all', count(*), round(sum(o_totalprice), 2) FROM orders"
+)
+def cached_twice(t: Tables) -> DataFrame:
+    """Two reports of one cached table."""
+    kept = sources.keep_cached(t.orders.select("o_orderstatus", "o_totalprice"))
+    sums = [F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")]
+    per_status = kept.groupBy("o_orderstatus").agg(*sums)
+    whole = kept.agg(*sums).select(F.lit("all").alias("o_orderstatus"), "n", "total")
+    return per_status.unionByName(whole)
+
+
+@query(
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount "
+    "FROM lineitem"
+)
+def numeric_features(t: Tables) -> DataFrame:
+    numbers = op.columns_of_type(t.lineitem, T.NumericType)
+    return op.features_label(t.lineitem.select(*numbers), "l_tax")[0]
+
+
+@query("SELECT l_tax FROM lineitem")
+def label_column(t: Tables) -> DataFrame:
+    return op.features_label(t.lineitem, "l_tax")[1]
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def concat_chunks(t: Tables) -> DataFrame:
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
@@ -521,8 +578,8 @@ def daily_type_counts(t: Tables) -> DataFrame:
     "(PARTITION BY col_key ORDER BY row_key ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)"
 )
 def rolling_365(t: Tables) -> DataFrame:
-    daily = op.on_all_days(op.daily_counts(t.orders, "o_orderdate", "o_orderstatus"))
-    return dates_as_text(op.rolling_sum(daily, "row_key", "n", 365, ["col_key"]), "row_key")
+    daily = op.daily_counts(t.orders, "o_orderdate", "o_orderstatus")
+    return dates_as_text(op.rolling_on_all_days(daily, 365), "row_key")
 
 
 _Z = (

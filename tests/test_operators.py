@@ -282,6 +282,26 @@ def test_hotspots(table):
 # ---- order statistics and profiles ------------------------------------------------------------
 
 
+@pytest.mark.parametrize("days", [1, 3, 50])
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_rolling_runs_add_up_like_a_dense_frame(table, days, kind):
+    rng = np.random.default_rng(days)
+    data = {}
+    for _ in range(300):
+        day = int(rng.choice([0, 1, 2, 30, 31, 40, 41, 42, 43, 60]))
+        key = (int(rng.integers(0, 5)) ** 2)
+        data[day, key] = data.get((day, key), 0) + 1
+    data[7, 99] = 1
+    rows = [(d, str(k) if kind == "string" else k, n) for (d, k), n in data.items()]
+    daily = table(rows, f"row_key int, col_key {kind}, n long")
+    found = {(d, k): (n, r) for d, k, n, r in values(op.rolling_on_all_days(daily, days), "row_key", "col_key", "n", "rolling")}
+    dense = op.rolling_sum(op.on_all_days(daily), "row_key", "n", days, ["col_key"])
+    assert found == {(d, k): (n, r) for d, k, n, r in values(dense, "row_key", "col_key", "n", "rolling")}
+    runs, _ = op.rolling_runs(daily, days)
+    assert runs.count() <= 2 * len(data) + 6
+    assert op.rolling_on_all_days(daily.filter("false"), days).count() == 0
+
+
 @pytest.mark.parametrize("digits, few", [(16, 3), (1024, 100_000)])
 def test_exact_quantiles(table, digits, few):
     rng = np.random.default_rng(5)

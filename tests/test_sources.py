@@ -98,8 +98,38 @@ def test_lookup_text(table, spark):
     assert areas[25] == "Austin" and areas[76] == "O'Hare"
 
 
-def test_files_with_another_column_order_are_refused(spark, tmp_path):
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n5,6\n")
+    (tmp_path / "b c+d.csv").write_text("v,k,further\n3,4,x\n")
+    (tmp_path / "c.csv").write_text('\ufeffV,"K"\n7,8\n')
+    (tmp_path / "d.csv").write_text("k,v\n9,10\n")
+    read = sources.read_incidents_csv(spark, str(tmp_path), required=["k", "v"])
+    assert read.columns == ["k", "v"]
+    assert sorted(tuple(map(int, r)) for r in read.collect()) == [(1, 2), (4, 3), (5, 6), (8, 7), (9, 10)]
+    assert sorted(map(len, sources.csv_headers(spark, str(tmp_path)).values())) == [1, 1, 2]
+    (tmp_path / "e.csv").write_text("k,w\n1,2\n")
+    with pytest.raises(ValueError, match="'v'"):
+        sources.read_incidents_csv(spark, str(tmp_path), required=["k", "v"])
+
+
+def test_types_of_files_with_other_headers_agree(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\n1,2\n")
-    (tmp_path / "b.csv").write_text("v,k\n3,4\n")
-    with pytest.raises(Exception, match="header"):
-        sources.read_incidents_csv(spark, str(tmp_path), required=["k", "v"]).collect()
+    (tmp_path / "b.csv").write_text("v,k\n3.5,x\n")
+    read = sources.read_incidents_csv(spark, str(tmp_path), required=["k", "v"], infer=True)
+    assert read.dtypes == [("k", "string"), ("v", "double")]
+    assert {tuple(r) for r in read.collect()} == {("1", 2.0), ("x", 3.5)}
+
+
+def test_first_rows_come_in_file_order(spark, tmp_path):
+    for i, name in enumerate(["a", "b x", "c"]):
+        folder = tmp_path / name
+        spark.range(10 * i, 10 * i + 10).orderBy(F.desc("id")).coalesce(1).write.parquet(str(folder))
+    whole = spark.read.parquet(*[str(tmp_path / n) for n in ("a", "b x", "c")])
+    assert whole.count() == 30
+    path = f"{tmp_path}/*"
+    order = [*range(9, -1, -1), *range(19, 9, -1), *range(29, 19, -1)]
+    for n in (0, 1, 10, 13, 29, 30, 99):
+        df = sources.first_rows(spark, path, n, at_once=2)
+        assert sorted(r.id for r in df.collect()) == sorted(order[:n]), n
+    plan = sources.first_rows(spark, path, 13)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "/c/" not in plan
