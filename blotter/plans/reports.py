@@ -216,6 +216,33 @@ def correlations(raw: DataFrame) -> DataFrame:
     return op.corr_matrix(cleaned(raw))
 
 
+def incidents_per_district(raw: DataFrame) -> DataFrame:
+    """Incidents per district beside the mean over the districts."""
+    return op.count_vs_mean(op.normalize_names(raw), "District")
+
+
+def places_smallest_first(raw: DataFrame, n: int = 20) -> DataFrame:
+    """The `n` commonest places, the smallest count first."""
+    return op.top_n(complete(raw), "Location_Description", n, ascending_output=True)
+
+
+def incident_summary(raw: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Count, mean, spread, ends and quartiles of the numeric columns of the cleaned table."""
+    return op.describe(cleaned(raw), cols)
+
+
+def incident_histograms(
+    raw: DataFrame, cols: Sequence[str] | None = None, bins: int | str = 10
+) -> DataFrame:
+    """Equal-width histograms of the numeric columns of the cleaned table."""
+    return op.histogram(cleaned(raw), cols, bins)
+
+
+def incident_density(raw: DataFrame, column: str) -> DataFrame:
+    """The density of a numeric column of the cleaned table."""
+    return op.density(cleaned(raw), column)
+
+
 def model_table(raw: DataFrame) -> DataFrame:
     """(ID, features as text, label 0/1) for the classifiers."""
     df = op.normalize_names(raw)
@@ -245,6 +272,10 @@ __all__ = [
     "hot_locations",
     "hour_groups",
     "hour_pattern",
+    "incident_density",
+    "incident_histograms",
+    "incident_summary",
+    "incidents_per_district",
     "incidents_per_month",
     "incidents_per_month_of_year",
     "incidents_per_weekday",
@@ -252,6 +283,7 @@ __all__ = [
     "model_table",
     "place_groups",
     "places_of_top_types",
+    "places_smallest_first",
     "quality_profile",
     "top_three_types_of_year",
     "top_type_of_year",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from blotter import operators as op
 from blotter import plans
+from blotter.ml.clusters import DIGITS, ROUNDS
 from blotter.schema import RAW_COLUMNS
 from blotter.sources import AREA_TEXT, area_lookup
 from checks.registry import Tables, dates_as_text, query, rounded
@@ -315,16 +316,153 @@ def quality_profile(t: Tables) -> DataFrame:
     return rounded(plans.quality_profile(raw_incidents(t)), "null_pct")
 
 
-@query()
+def groups_sql(cells: str, k: int, rounds: int = ROUNDS) -> str:
+    """The grouping of a matrix; `cells` are CTEs, the last of them `cells` (row_key, col_key, v)."""
+    distance = f"round(sum((p.v - c.v) * (p.v - c.v)), {DIGITS})"
+    ctes = [
+        cells,
+        "points AS MATERIALIZED (SELECT row_key, col_key, coalesce(v, 0)::DOUBLE AS v FROM cells)",
+        "seed1 AS MATERIALIZED (SELECT 0 AS g, min(row_key) AS row_key FROM points)",
+    ]
+    for j in range(2, k + 1):
+        ctes.append(
+            f"seed{j} AS MATERIALIZED (SELECT * FROM seed{j - 1} UNION ALL SELECT {j - 1}, row_key FROM "
+            "(SELECT row_key, min(d) AS d FROM (SELECT p.row_key, s.g, "
+            f"{distance} AS d FROM points p JOIN seed{j - 1} s ON true JOIN points c "
+            "ON c.row_key = s.row_key AND c.col_key = p.col_key GROUP BY 1, 2) x GROUP BY 1 "
+            "HAVING min(d) > 0 ORDER BY d DESC, row_key LIMIT 1) y)"
+        )
+    ctes.append(
+        f"centre0 AS MATERIALIZED (SELECT g, col_key, v FROM seed{k} JOIN points USING (row_key))"
+    )
+    for r in range(rounds + 1):
+        ctes.append(
+            f"apart{r} AS MATERIALIZED (SELECT p.row_key, c.g, {distance} AS d FROM points p JOIN centre{r} c "
+            "ON c.col_key = p.col_key GROUP BY 1, 2)"
+        )
+        ctes.append(
+            f"near{r} AS MATERIALIZED (SELECT row_key, g, d, row_number() OVER "
+            f"(PARTITION BY row_key ORDER BY d, g) AS place FROM apart{r})"
+        )
+        if r < rounds:
+            ctes.append(
+                f"centre{r + 1} AS MATERIALIZED (SELECT o.g, o.col_key, coalesce(m.v, o.v) AS v FROM centre{r} o "
+                f"LEFT JOIN (SELECT g, col_key, avg(v) AS v FROM points JOIN near{r} USING (row_key) "
+                "WHERE place = 1 GROUP BY 1, 2) m ON m.g = o.g AND m.col_key = o.col_key)"
+            )
+    return (
+        ", ".join(ctes)
+        + f", named AS (SELECT g, CAST(row_number() OVER (ORDER BY min(row_key)) - 1 AS INTEGER) AS cluster "
+        f"FROM near{rounds} WHERE place = 1 GROUP BY g) SELECT n.row_key, cluster, "
+        f"round(n.d, 6) AS distance, round(x.d, 6) AS next_distance FROM near{rounds} n JOIN named USING (g) "
+        f"LEFT JOIN near{rounds} x ON x.row_key = n.row_key AND x.place = 2 WHERE n.place = 1"
+    )
+
+
+def _profile_cells(key: str, part: str, width: int) -> str:
+    """CTEs of the dense counts of a key and a part of the time as row z-scores."""
+    return (
+        COMPLETE_CTE + f", c AS (SELECT {key} AS row_key, {part} AS col_key, count(*) AS n "
+        "FROM complete GROUP BY 1, 2), dense AS (SELECT r.row_key, k.range AS col_key, "
+        f"coalesce(n, 0) AS n FROM (SELECT DISTINCT row_key FROM c) r, range({width}) k "
+        "LEFT JOIN c ON c.row_key = r.row_key AND c.col_key = k.range), "
+        "cells AS (SELECT row_key, col_key, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS v "
+        "FROM dense WINDOW w AS (PARTITION BY row_key))"
+    )
+
+
+@query(groups_sql(_profile_cells("Primary_Type", "hour(ts)", 24), 4))
 def hour_groups(t: Tables) -> DataFrame:
-    return plans.hour_groups(raw_incidents(t))
+    return rounded(plans.hour_groups(raw_incidents(t)), "distance", "next_distance")
 
 
-@query()
+@query(groups_sql(_profile_cells("Primary_Type", "isodow(ts) - 1", 7), 4))
 def weekday_groups(t: Tables) -> DataFrame:
-    return plans.weekday_groups(raw_incidents(t))
+    return rounded(plans.weekday_groups(raw_incidents(t)), "distance", "next_distance")
+
+
+_PLACE_CELLS = (
+    COMPLETE_CTE + ", c AS (SELECT Location_Description AS row_key, Primary_Type AS kind, "
+    "count(*) AS n FROM complete GROUP BY 1, 2), k AS (SELECT kind FROM c GROUP BY kind "
+    "ORDER BY sum(n) DESC, kind LIMIT 10), d AS (SELECT r.row_key, k.kind, coalesce(n, 0) AS n "
+    "FROM (SELECT DISTINCT row_key FROM c) r CROSS JOIN k LEFT JOIN c ON c.row_key = r.row_key "
+    "AND c.kind = k.kind), cells AS (SELECT row_key, row_number() OVER (PARTITION BY row_key "
+    "ORDER BY kind) AS col_key, coalesce((n - min(n) OVER w) / "
+    "nullif(max(n) OVER w - min(n) OVER w, 0)::DOUBLE, 0.0) AS v FROM d WINDOW w AS (PARTITION BY row_key))"
+)
 
 
-@query()
+@query(groups_sql(_PLACE_CELLS, 3))
 def place_groups(t: Tables) -> DataFrame:
-    return plans.place_groups(raw_incidents(t))
+    return rounded(plans.place_groups(raw_incidents(t)), "distance", "next_distance")
+
+
+# ---- counts against the mean, smallest first, and the quality of the table ----------------
+
+
+@query(
+    RAW_CTE + ", c AS (SELECT District, count(*) AS n FROM raw GROUP BY 1) "
+    "SELECT District, n, round((SELECT avg(n) FROM c), 6) AS mean_n FROM c"
+)
+def incidents_per_district(t: Tables) -> DataFrame:
+    return rounded(plans.incidents_per_district(raw_incidents(t)), "mean_n")
+
+
+@query(
+    COMPLETE_CTE + "SELECT Location_Description, n FROM (SELECT Location_Description, count(*) AS n "
+    "FROM complete GROUP BY 1 ORDER BY n DESC, Location_Description LIMIT 20) x"
+)
+def places_smallest_first(t: Tables) -> DataFrame:
+    return plans.places_smallest_first(raw_incidents(t))
+
+
+_MEASURED = ["Beat", "District", "Latitude", "Longitude", "Year"]
+_STATS = {
+    "count": "count({c})",
+    "mean": "avg({c})",
+    "std": "stddev_samp({c})",
+    "min": "min({c})",
+    "25%": "quantile_cont({c}, 0.25)",
+    "50%": "quantile_cont({c}, 0.5)",
+    "75%": "quantile_cont({c}, 0.75)",
+    "max": "max({c})",
+}
+
+
+@query(
+    _CLEAN_SQL
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{stat}' AS stat, "
+        f"round(CAST({e.format(c=f'CAST({c} AS DOUBLE)')} AS DOUBLE), 6) AS value FROM clean"
+        for c in _MEASURED
+        for stat, e in _STATS.items()
+    )
+)
+def incident_summary(t: Tables) -> DataFrame:
+    return rounded(plans.incident_summary(raw_incidents(t), _MEASURED), "value")
+
+
+@query(
+    _CLEAN_SQL
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(b.range AS INTEGER) AS bin, round(lo + b.range * width, 6) AS lo, "
+        f"round(lo + (b.range + 1) * width, 6) AS hi, (SELECT count(*) FROM clean WHERE "
+        f"least(floor(({c} - lo) / width), 9) = b.range) AS n FROM (SELECT min({c})::DOUBLE AS lo, "
+        f"(max({c}) - min({c}))::DOUBLE / 10 AS width FROM clean) e, range(10) b"
+        for c in _MEASURED
+    )
+)
+def incident_histograms(t: Tables) -> DataFrame:
+    return rounded(plans.incident_histograms(raw_incidents(t), _MEASURED), "lo", "hi")
+
+
+@query(
+    _CLEAN_SQL + ", s AS (SELECT count(*)::DOUBLE AS n, min(Beat)::DOUBLE AS lo, max(Beat)::DOUBLE AS hi, "
+    "stddev_samp(Beat) * pow(count(*)::DOUBLE, -0.2) AS h FROM clean), v AS (SELECT Beat, count(*) AS k "
+    "FROM clean GROUP BY 1), g AS (SELECT lo + range * ((hi - lo) / 199) AS x FROM range(200), s) "
+    "SELECT round(x, 6) AS x, round(sum(k * exp(-0.5 * ((x - Beat) / h) * ((x - Beat) / h))) / "
+    "(max(n) * max(h) * sqrt(2 * pi())), 9) AS density FROM g, v, s GROUP BY x"
+)
+def beat_density(t: Tables) -> DataFrame:
+    found = plans.incident_density(raw_incidents(t), "Beat")
+    return rounded(rounded(found, "x"), "density", digits=9)

@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter import ml, plans
+from blotter import operators as op
+from blotter.operators.crosstab import HOURS
+from checks.incidents import groups_sql
 from checks.registry import Tables, query, rounded
 from checks.standin import RAW_CTE, raw_incidents
 
@@ -566,10 +569,18 @@ def tree_nodes(t: Tables) -> DataFrame:
     return rounded(nodes.drop("held_n", "held_ones"), "impurity", "gain", digits=9)
 
 
-@query()
+@query(
+    groups_sql(
+        "WITH c AS (SELECT user_id AS row_key, hour(ts) AS col_key, count(*) AS n FROM events "
+        "WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), "
+        "dense AS (SELECT r.row_key, k.range AS col_key, coalesce(n, 0) AS n "
+        "FROM (SELECT DISTINCT row_key FROM c) r, range(24) k LEFT JOIN c "
+        "ON c.row_key = r.row_key AND c.col_key = k.range), "
+        "cells AS (SELECT row_key, col_key, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS v "
+        "FROM dense WINDOW w AS (PARTITION BY row_key))",
+        4,
+    )
+)
 def group_profiles(t: Tables) -> DataFrame:
-    from blotter import operators as op
-    from blotter.operators.crosstab import HOURS
-
     cells = op.zscore_within(op.hour_by(t.events, "ts", "user_id"))
-    return ml.group_profiles(cells, HOURS, "z", 4)
+    return rounded(ml.group_profiles(cells, HOURS, "z", 4), "distance", "next_distance")

@@ -210,6 +210,39 @@ def test_profiles_of_equal_shape_share_a_group(table):
     assert group["m"] == group["n"] != group["x"] == group["y"]
 
 
+def test_groups_match_brute_force(table):
+    rng = np.random.default_rng(12)
+    keys = [f"r{i:03d}" for i in range(60)]
+    points = {k: rng.normal(rng.integers(0, 4) * 1.2, 1, 5) for k in keys}
+    cells = table(
+        [(k, c, float(v)) for k, row in points.items() for c, v in enumerate(row)],
+        "row_key string, col_key int, z double",
+    )
+    found = {r.row_key: r for r in ml.group_profiles(cells, list(range(5)), "z", 4, rounds=30).collect()}
+    centres = [points[keys[0]]]
+    while len(centres) < 4:
+        centres.append(points[max(keys, key=lambda k: min(((points[k] - c) ** 2).sum() for c in centres))])
+    for _ in range(30):
+        own = {k: int(np.argmin([((points[k] - c) ** 2).sum() for c in centres])) for k in keys}
+        centres = [np.mean([points[k] for k in keys if own[k] == g], axis=0) for g in range(4)]
+    for k in keys:
+        apart = sorted(((points[k] - c) ** 2).sum() for c in centres)
+        assert found[k].distance == pytest.approx(apart[0], abs=1e-8)
+        assert found[k].next_distance == pytest.approx(apart[1], abs=1e-8)
+    same = {(found[k].cluster, own[k]) for k in keys}
+    assert len(same) == 4
+    firsts = [min(k for k in keys if found[k].cluster == g) for g in range(4)]
+    assert firsts == sorted(firsts)
+
+
+def test_fewer_shapes_than_groups_and_no_rows(table):
+    schema = "row_key string, col_key int, z double"
+    cells = table([("a", 0, 1.0), ("b", 0, 1.0), ("c", 1, 5.0), ("d", 0, None)], schema)
+    rows = {r.row_key: r.cluster for r in ml.group_profiles(cells, [0, 1], "z", 9).collect()}
+    assert rows["a"] == rows["b"] == 0 and len(set(rows.values())) == 3
+    assert ml.group_profiles(table([], schema), [0, 1], "z", 2).count() == 0
+
+
 def test_materialized_tables_live_in_the_shared_folder(spark):
     folder = shared_dir(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
