@@ -91,10 +91,11 @@ def kept_counts(
     order from 0.
     """
     met = term_counts(docs, text=text, lang=lang, source=source).repartition("lang", "term")
-    kept = met.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"))
-    cells = met.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    kept = kept.where(F.col("docs") >= least).select("lang", "term", "total")
-    counts = written(cells.join(kept, ["lang", "term"]), "divergence-counts")
+    cells = met.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # A term has one row per source by now, in the partition it was sent to.
+    term = Window.partitionBy("lang", "term")
+    known = cells.withColumns({"docs": F.sum("docs").over(term), "total": F.sum("n").over(term)})
+    counts = written(known.where(F.col("docs") >= least).drop("docs"), "divergence-counts")
     terms = counts.select("lang", "term", F.col("total").alias("n")).distinct()
     return counts.drop("total"), _numbered(terms)
 
