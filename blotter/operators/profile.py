@@ -15,6 +15,8 @@ from blotter.operators.ordered import exact_quantiles, present, to_long
 
 #: Share of a mean square below which a variance is rounding only.
 NO_SPREAD = 1e-13
+#: Rows whose means the values of a correlation matrix are moved by.
+SHIFT_ROWS = 1000
 #: Columns of one block of a correlation matrix: two blocks are added up together.
 CORR_BLOCK = 7
 
@@ -203,7 +205,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     Spark's own `corr` raises a division by zero.
 
     Rows are grouped by their pattern of missing columns, and each pattern adds up the values,
-    less the columns' means, and their products. A pair takes the sums of the patterns that
+    less the means of a few rows, and their products. A pair takes the sums of the patterns that
     have both. All pairs of up to `2 * CORR_BLOCK` columns come from one aggregation; further
     columns are cut into blocks, and a row goes once to each pair of blocks, so there are
     never more sums in a group nor more patterns than that number of columns gives.
@@ -217,9 +219,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         return present(df, c)
 
     row = df.select(*[number(c).alias(f"_{i}") for i, c in enumerate(cols)])
-    means = row.agg(F.struct(*[F.avg(c).alias(c) for c in row.columns]).alias("means")).scalar()
-    moved = row.withColumn("_means", means).select(
-        *[(F.col(c) - F.col(f"_means.{c}")).alias(c) for c in row.columns]
+    # Sums about a value near the column's keep their digits; any rows will do for it.
+    near = ", ".join(f"coalesce(avg({c}), 0D) AS {c}" for c in row.columns)
+    some = row.limit(SHIFT_ROWS).agg(F.expr(f"struct({near})").alias("near"))
+    moved = row.withColumn("_near", some.scalar()).selectExpr(
+        *[f"{c} - _near.{c} AS {c}" for c in row.columns]
     )
     sums = _moments(moved, len(cols)).groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]
@@ -235,13 +239,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
     r = F.when(F.col("i") == F.col("j"), r * 0 + 1).otherwise(bounded)
     names = F.lit(cols)
+    sums = sums.select("i", "j", r.alias("r"), F.get(names, "i").alias("_i"), F.get(names, "j").alias("_j"))
 
     def cell(a: str, b: str):
-        pair = [F.get(names, F.col(at)).alias(name) for name, at in (("a", a), ("b", b))]
-        return F.struct(*pair, r.alias("r"))
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"), "r")
 
-    mirrored = F.when(F.col("i") < F.col("j"), F.array(cell("i", "j"), cell("j", "i")))
-    return sums.select(F.inline(F.coalesce(mirrored, F.array(cell("i", "j")))))
+    mirrored = F.when(F.col("i") < F.col("j"), F.array(cell("_i", "_j"), cell("_j", "_i")))
+    return sums.select(F.inline(F.coalesce(mirrored, F.array(cell("_i", "_j")))))
 
 
 def _moments(row: DataFrame, width: int) -> DataFrame:
@@ -274,10 +278,13 @@ def _moments(row: DataFrame, width: int) -> DataFrame:
         "couple", f"{mask} AS mask", *[f"coalesce(s{k}, 0D) AS s{k}" for k in range(most)]
     )
     places = [(k, m) for k in range(most) for m in range(k, most)]
-    grouped = filled.groupBy("couple", "mask").agg(
-        F.expr("CAST(count(1) AS DOUBLE) AS n"),
-        *[F.expr(f"sum(s{k}) AS t{k}") for k in range(most)],
-        *[F.expr(f"sum(s{k} * s{m}) AS p{k}_{m}") for k, m in places],
+    totals = [f"sum(s{k}) AS t{k}" for k in range(most)]
+    totals += [f"sum(s{k} * s{m}) AS p{k}_{m}" for k, m in places]
+    # One statement: this many columns take long to hand over one by one.
+    grouped = row.sparkSession.sql(
+        f"SELECT couple, mask, CAST(count(1) AS DOUBLE) AS n, {', '.join(totals)} "
+        "FROM {filled} GROUP BY couple, mask",
+        filled=filled,
     )
 
     def entry(k: int, m: int) -> str:
