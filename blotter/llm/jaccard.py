@@ -341,11 +341,17 @@ def _across(marked: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def jaccard_components(
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", **settings) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; a component is named by its least id."""
+    return _components(docs, id_col=id_col, **settings).select(id_col, "n_shingles", "component_id")
+
+
+def _components(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80,
     frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT,
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; a component is named by its least id."""
+    """The rows of `jaccard_components` with the hash of their text, `_content`, and the least
+    set key of their component, `_group` (null without words): ids may repeat, keys do not."""
     slim = docs.select(
         F.col(id_col),
         F.col(text),
@@ -356,10 +362,11 @@ def jaccard_components(
     shared = _shared_tokens(nodes)
 
     def keys():
-        def each(ids, texts):
-            for key, content in zip(ids, texts):
+        def each(ids, hashes, texts):
+            for key, content_hash, content in zip(ids, hashes, texts):
                 tokens = shingle_set(content, k)
-                yield (key, len(tokens), *(set_key(tokens) if len(tokens) else (None, None)))
+                found = set_key(tokens) if len(tokens) else (None, None)
+                yield key, content_hash, len(tokens), *found
 
         return each
 
@@ -392,7 +399,8 @@ def jaccard_components(
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = map_batches(
-        slim.select(id_col, text), keys, f"{id_col} {kind}, n_shingles long, k1 long, k2 long"
+        slim.select(id_col, F.xxhash64(text), text), keys,
+        f"{id_col} {kind}, _content long, n_shingles long, k1 long, k2 long",
     )
     keyed = written(keyed, "jaccard-keys")
     # Nodes in components of several; all other documents group by their own key.
@@ -402,14 +410,16 @@ def jaccard_components(
         .join(named, ["k1", "k2"], "left")
     )
     whole = least.where("component IS NOT NULL").groupBy("component").agg(
-        F.min("_least").alias("_whole")
+        F.min("_least").alias("_whole"), F.min(F.struct("k1", "k2")).alias("_key")
     )
     least = least.join(whole, "component", "left").select(
-        "k1", "k2", F.coalesce("_whole", "_least").alias("_component_id")
+        "k1", "k2", F.coalesce("_whole", "_least").alias("_component_id"),
+        F.coalesce("_key", F.struct("k1", "k2")).alias("_group"),
     )
     # Documents without words have no key and meet nothing here.
     return keyed.join(least, ["k1", "k2"], "left").select(
-        id_col, "n_shingles", F.coalesce("_component_id", id_col).alias("component_id")
+        id_col, "n_shingles", F.coalesce("_component_id", id_col).alias("component_id"),
+        "_content", "_group",
     )
 
 
@@ -419,13 +429,23 @@ def docs_repeat(texts: DataFrame) -> bool:
 
 
 def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **settings):
-    """The rows of `docs` whose id names their component; one row of those that repeat."""
+    """One row of each component: the one with the least id, rows without id last.
+
+    Rows without words stay, once for each id and text. Components are told apart by their
+    sets, so different texts that share an id, or have none, do not replace each other.
+    """
     outside = docs.columns
     docs = extras_renamed(docs, id_col, text)
-    parts = jaccard_components(docs, id_col=id_col, text=text, **settings)
-    keep = parts.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(keep.withColumnRenamed(id_col, "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")))
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
+    parts = _components(docs, id_col=id_col, text=text, **settings)
+    row = F.struct(F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_kept"), F.col("_content"))
+    chosen = parts.where("_group IS NOT NULL").groupBy("_group").agg(F.min(row).alias("_row"))
+    wordless = parts.where("_group IS NULL").select(row.alias("_row")).distinct()
+    keep = chosen.select("_row").unionByName(wordless).select("_row._kept", "_row._content")
+    marked = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_content"))
+    kept = marked.join(keep, same, "left_semi")
+    # Rows that repeat id and text come down to one.
+    order = Window.partitionBy(id_col, "_text_hash").orderBy(F.lit(0))
     first = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return first.select(*docs.columns).toDF(*outside)
 

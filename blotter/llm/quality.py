@@ -151,10 +151,12 @@ def quality_rules(
 ) -> DataFrame:
     """Score every row of `docs` against the target given by the ids in `trusted`.
 
-    `trusted` is cut to `max_trusted` rows and so is small enough to broadcast.
+    `trusted` is cut to the `max_trusted` ids with the smallest hashes, the same in every run, and
+    so is small enough to broadcast.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_trusted_id")).distinct()
-    ids = F.broadcast(ids.limit(max_trusted).withColumn("_trusted", F.lit(True)))
+    some = ids.orderBy(F.xxhash64("_trusted_id"), "_trusted_id").limit(max_trusted)
+    ids = F.broadcast(some.withColumn("_trusted", F.lit(True)))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     flagged = slim.join(ids, F.col("_id") == F.col("_trusted_id"), "left")
     counts = ngram_counts(flagged, text="_text", trusted="_trusted", buckets=buckets)

@@ -25,7 +25,7 @@ import xxhash
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.llm.common import map_batches, written
@@ -64,7 +64,10 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, *, id_col: str, text: str, label: str, folds: int,
     sample: int,
 ) -> DataFrame:
-    """(text, toxic) of at most `sample` training rows of each class, by smallest hash."""
+    """(text, toxic) of at most `sample` training rows of each class, by smallest hash.
+
+    Of rows that repeat an id, the one whose text has the smallest hash counts.
+    """
     known = labels.where(
         F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col, folds)
     ).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label).cast("int").alias("_toxic"))
@@ -77,7 +80,9 @@ def labelled_sample(
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     found = slim.join(chosen, F.col("_id") == F.col("_label_id"))
-    return found.where(F.col("_text").isNotNull()).select(
+    order = Window.partitionBy("_label_id").orderBy(F.xxhash64("_text"))
+    one = found.where(F.col("_text").isNotNull()).withColumn("_n", F.row_number().over(order))
+    return one.where("_n = 1").select(
         "_text", "_toxic", F.xxhash64("_label_id", "_text").alias("_order")
     )
 

@@ -90,3 +90,14 @@ def test_large_group_of_near_copies(spark, words):
     ).collect()
     assert {r.component_id for r in rows if r.doc_id < 2000} == {0}
     assert {r.component_id for r in rows if r.doc_id == 2000} == {2000}
+
+
+def test_different_texts_that_share_an_id_or_have_none_stay(spark, words):
+    texts = [" ".join(words(30, 9000)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(repr, jaccard.one_per_component(docs).collect())) == sorted(map(repr, docs.collect()))
+    copies = docs.union(docs).union(spark.createDataFrame([(8, texts[1]), (5, texts[3] + " end")], docs.schema))
+    kept = sorted((r.doc_id is None, r.doc_id or 0, texts.index(r.text) if r.text in texts else 9)
+                  for r in jaccard.one_per_component(copies).collect())
+    assert kept == [(False, 5, 9), (False, 7, 2), (False, 8, 1), (False, 9, 4), (True, 0, 0)]

@@ -55,3 +55,13 @@ def test_edge_rows(spark, edge):
     nothing = labels.limit(0)
     assert {r.score for r in toxicity.score_toxicity(edge(), nothing).collect()} == {0.0}
     assert toxicity.score_toxicity(edge(rows=[]), labels).count() == 0
+
+
+def test_an_id_that_repeats_gives_one_sample_row(spark):
+    docs = spark.range(5000).selectExpr("IF(id < 4900, 1, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    rows = toxicity.labelled_sample(
+        docs, labels, id_col="doc_id", text="text", label="toxic", folds=5, sample=4000
+    )
+    ids = {0} | {1} | set(range(4900, 5000))
+    assert rows.count() <= len(ids)
