@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections import deque
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -27,7 +28,8 @@ from blotter.llm.registry import query, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
+    # A quote counts right after "=" only, and if its end ends a value; groups never give back.
+    r"|<(/?)([A-Za-z][^\s/<>]*)((?>=\s*+(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))|[^<>])*+)>|[^<]+|<",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(
@@ -38,6 +40,10 @@ SKIPPED = frozenset(
     "script style noscript template svg math iframe object select textarea button head title "
     "canvas audio video datalist".split()
 )
+#: Of these, elements that may hold others of their kind.
+NESTED = frozenset("template svg math object".split())
+#: Of these, elements whose content is no markup: unclosed, they run to the end of the page.
+RAW = frozenset("script style noscript iframe textarea".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -49,6 +55,9 @@ CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+_NEXT_BLOCK = re.compile(
+    f"</?(?:{'|'.join(sorted(CLOSES_PARAGRAPH))}|li|td|th|tr|body|html)(?=[\\s/>])", re.IGNORECASE
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements and roles around boilerplate and around content.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -183,11 +192,7 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if tag not in ("svg", "math", "button", "select", "textarea"):
                 flush()
-            gone = re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(page, position)
-            if gone:
-                position = gone.end()
-            elif tag not in ("head", "title"):
-                position = end
+            position = _skipped(page, position, tag, m[3])
             continue
         if tag == "a":
             in_link += 1
@@ -215,6 +220,35 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
+def _skipped(page: str, position: int, tag: str, attributes: str) -> int:
+    """Where a page goes on after an element that is no text.
+
+    Raw text ends at its closing tag, or with the page. Others that close themselves or
+    are not closed before another of their kind begins end at the next block.
+    """
+    if tag in RAW:
+        gone = _tags(tag, "/").search(page, position)
+        return gone.end() if gone else len(page)
+    if attributes.endswith("/"):
+        return position
+    depth, at = 1, position
+    while depth:
+        m = _tags(tag, "/?").search(page, at)
+        if m is None or (m[1] == "" and tag not in NESTED):
+            if tag in ("head", "title"):
+                return position
+            block = _NEXT_BLOCK.search(page, position)
+            return block.start() if block else len(page)
+        depth += 1 if m[1] == "" else -1
+        at = m.end()
+    return at
+
+
+@lru_cache(maxsize=256)
+def _tags(tag: str, slash: str) -> re.Pattern:
+    return re.compile(f"<({slash}){re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE)
+
+
 def content_score(block: Block) -> float:
     """The linear classifier: above 0 for content."""
     words = block.text.count(" ") + 1

@@ -1,5 +1,8 @@
 import itertools
 import random
+import time
+
+import pytest
 
 from blotter.llm import pages
 
@@ -64,3 +67,39 @@ def test_given_pages_give_their_articles(spark):
         article = re.search(r"(?s)<article>(.*?)(</article>|$)", row.html)[1]
         bare = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))
         assert got[row.page_id] == " ".join(html.unescape(bare).split())
+
+
+_PROSE = "This is the first sentence of the text, and it goes on for quite some words to be prose."
+_MORE = "And here is the second paragraph, which must not be lost whatever stands before it, as it is prose."
+
+
+@pytest.mark.parametrize("before", [
+    "<a title=it's>x</a>", "<button>Share", "<object data=x/>", "<object data=x>", "<p class=\"x>", "<select><option>a",
+    "<video src=a>", "<button>a<p>b</p><button>c</button>", "<p class='a' title='b>", "<svg/>", "<i a=\"1\"b=\"2\">z</i>",
+])
+def test_broken_markup_loses_no_paragraph(before):
+    body = f"<article>{{0}}<p>{_PROSE}</p><p>{_MORE}</p></article>"
+    text = pages.main_text(f"<html><body>{body.format(before)}</body></html>")
+    assert _PROSE in text and _MORE in text
+    assert "<" not in text and "class=" not in text
+
+
+def test_raw_text_never_leaks():
+    inside = "<script>if (a < b) { x = '</p>'; }</script><style>p > a { }</style><noscript><p>no</p></noscript>"
+    text = pages.main_text(f"<body><article><p>{_PROSE}</p>{inside}<p>{_MORE}</p><script>var z = 1;</article></body>")
+    assert text == f"{_PROSE} {_MORE}"
+
+
+def test_nested_graphics_are_skipped_whole():
+    page = f"<article><p>{_PROSE}</p><svg><svg><text>a</text></svg><text>b</text></svg><p>{_MORE}</p></article>"
+    assert pages.main_text(page) == f"{_PROSE} {_MORE}"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    for part in ('<p class="', "<a ", "<a b='", "<", "<button>", "<x y=\"1\" "):
+        times = []
+        for n in (2_000, 8_000):
+            begin = time.perf_counter()
+            pages.blocks_of(part * n)
+            times.append(time.perf_counter() - begin)
+        assert times[1] < 16 * times[0] + 0.5, part
