@@ -6,8 +6,10 @@ every line of at least `long_words` words by itself, and of the hashes of `gram`
 neighbouring lines the minimum of every window of `window` (the last of equal minima).
 So every repeated run with a long line in it, or of `gram + window - 1` lines or more,
 holds a fingerprint. Each occurrence of a fingerprint is joined with the first one in
-the order of (id, position), the match is extended both ways while lines are equal, and
-the later run is removed.
+the order of (id, position), with the first that has the same line before it, and with the
+first that has the same line after it; each match is extended both ways while lines are
+equal, and the later run is removed. So a run is found whole even if its fingerprint
+occurs earlier among other lines.
 
 The first occurrence of a line always stays: a removed line has an equal one before it.
 Rows that repeat both id and text are one document here and get equal results. Null
@@ -29,6 +31,8 @@ GRAM = 3
 WINDOW = 4
 
 _NULL_ID = -(1 << 63)
+#: Odd factors that tell a fingerprint with the line before it from one with the line after.
+_BEFORE, _AFTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def text_lines(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -52,12 +56,22 @@ def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
 def fingerprints(
     hashes: np.ndarray, counts: np.ndarray, long_words: int, gram: int, window: int
 ) -> list[tuple[int, int]]:
-    """(key, position) of the long lines and of the winnowed grams."""
+    """(key, position) of the long lines and of the winnowed grams, and of each of them
+    together with the line before it and with the line after it."""
     long_at = np.flatnonzero(counts >= long_words)
-    found = list(zip(mix(hashes[long_at]).astype(np.int64).tolist(), long_at.tolist()))
     grams = window_hashes(hashes, gram)
-    at = winnowed(grams, window)
-    return found + list(zip(grams[at].astype(np.int64).tolist(), at.tolist()))
+    gram_at = winnowed(grams, window)
+    keys = np.concatenate([mix(hashes[long_at]), grams[gram_at]])
+    start = np.concatenate([long_at, gram_at])
+    end = np.concatenate([long_at + 1, gram_at + gram])
+    before, after = start > 0, end < len(hashes)
+    keys = np.concatenate([
+        keys,
+        mix(keys[before] * _BEFORE + hashes[start[before] - 1]),
+        mix(keys[after] * _AFTER + hashes[end[after]]),
+    ])
+    places = np.concatenate([start, start[before], start[after]])
+    return list(zip(keys.astype(np.int64).tolist(), places.tolist()))
 
 
 def extended(

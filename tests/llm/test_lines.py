@@ -62,6 +62,29 @@ def test_runs_against_brute_force(spark):
     assert len(left) < sum(t.count("\n") + 1 for _, t in docs)
 
 
+def test_a_run_goes_whole_where_its_long_line_came_alone_before(spark):
+    """Document 3 k has only the long line, the next two share a run of five lines around it."""
+    chance, docs = random.Random(8), []
+    for k in range(60):
+        long = f"long {k} " + "w " * 30
+        run = [f"run {k} {i}" for i in range(4)]
+        run.insert(chance.randrange(5), long)
+
+        def around(rows, d):
+            own = [f"own {k} {d} {i}" for i in range(6)]
+            at = chance.randrange(7)
+            return own[:at] + rows + own[at:]
+
+        docs += [(3 * k + d, "\n".join(around(rows, d))) for d, rows in enumerate(([long], run, run))]
+    rows = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    left = {r.doc_id: r.text for r in rows}
+    for k in range(60):
+        assert left[3 * k] == docs[3 * k][1]
+        assert "long" not in left[3 * k + 1] and "run" in left[3 * k + 1]
+        assert "run" not in left[3 * k + 2] and "long" not in left[3 * k + 2]
+        assert left[3 * k + 2].count("own") == 6
+
+
 def test_long_passage_and_clean_documents(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [(i, f"start {i}\n{passage}\nend {i}") for i in range(40)] + [(99, "clean one\nclean two")]
