@@ -11,7 +11,9 @@ score in the box, ties at the k-th score are followed, so results are exact.
 Of equal vectors only the k + 1 smallest ids are indexed, which is all that a result can
 name, so a vector that a large share of the rows has makes no large shard. Rows with a
 null id, and vectors that are null or hold a null or non-finite component, take no part;
-rows that repeat an id count once, with the smallest vector. Vectors are compared with
+rows that repeat id and vector count once. Different vectors of one id are all candidates,
+and as queries share one ranking; rows of the query's own id are never its results. Vectors
+are compared with
 those of their own dimension. Scores are exact below 2**53. An empty table gives no rows.
 """
 
@@ -42,16 +44,14 @@ QUERY_ROWS = 1024
 
 
 def quantised(rows: DataFrame, *, id_col: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): one row per id, components floor(scale * x) as long."""
+    """(vec_id, v): one row per id and vector, components floor(scale * x) as long."""
     whole = F.forall(
         vector,
         lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))),
     )
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     some = rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).where(whole)
-    return some.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy(
-        "vec_id"
-    ).agg(F.min("v").alias("v"))
+    return some.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).distinct()
 
 
 def median_splits(points: np.ndarray, levels: int) -> list[tuple[int, int, float]]:

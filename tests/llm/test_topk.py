@@ -43,3 +43,20 @@ def test_pruning_is_exact_over_many_cells(spark, monkeypatch):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, cell int")
     assert topk.top_k(empty).count() == 0
+
+
+def test_all_vectors_of_an_id_take_part(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_ROWS", 30)
+    chance = np.random.default_rng(3)
+    rows = [(int(i), v) for i, v in zip(chance.integers(0, 60, 200), chance.normal(size=(200, 3)).round(1).tolist())]
+    data = spark.createDataFrame(rows + rows[:40], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(data, k=7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    ints = {(i, tuple(np.floor(64 * np.array(v)).astype(int).tolist())) for i, v in rows}
+    for q in {i for i, _ in ints if i % 20 == 0}:
+        found = [
+            (int(np.dot(v, w)), j) for i, v in ints if i == q for j, w in ints if j != q
+        ]
+        best = sorted(found, key=lambda x: (-x[0], x[1]))[:7]
+        assert [got[q][n + 1] for n in range(7)] == best
