@@ -212,11 +212,11 @@ _UNSEEN = " + ".join(
 )
 
 
-def _nearest_sql(k: int, asked: str = "NOT in_train") -> str:
-    """A CTE `near`: the k nearest training rows of every combination of features of `asked`."""
+def _nearest_sql(k: int) -> str:
+    """A CTE `near`: the k nearest training rows of every combination of test features."""
     return (
         _filled_sql("in_train")
-        + f", q AS (SELECT DISTINCT {_FEATURES} FROM rows WHERE {asked}), "
+        + f", q AS (SELECT DISTINCT {_FEATURES} FROM rows WHERE NOT in_train), "
         + f"pairs AS (SELECT {', '.join('q.' + f for f in plans.MODEL_FEATURES)}, "
         + f"b.ID AS neighbour, b.label, sqrt(2.0::DOUBLE * ({_DIFFERING}) - ({_UNSEEN})) AS distance "
         + "FROM q, rows b WHERE b.in_train), near AS (SELECT * FROM (SELECT *, "
@@ -374,8 +374,23 @@ def _knn_both_sides(t: Tables) -> DataFrame:
     )
 
 
+def _listed_sql(k: int) -> str:
+    """`near` for the features of all rows, from the k least of each combination at once."""
+    asked = ", ".join("q." + f for f in plans.MODEL_FEATURES)
+    return (
+        _filled_sql("in_train")
+        + f", q AS (SELECT DISTINCT {_FEATURES} FROM rows), "
+        f"u AS (SELECT q.*, {_UNSEEN} AS unseen FROM q), "
+        f"pairs AS (SELECT {asked}, min({{'d': {_DIFFERING}, 'id': b.ID, 'y': b.label}}, {k}) AS found "
+        f"FROM q, rows b WHERE b.in_train GROUP BY {asked}), "
+        f"listed AS (SELECT {_FEATURES}, unnest(found) AS m FROM pairs), "
+        f"near AS (SELECT {_FEATURES}, m.id AS neighbour, m.y AS label, "
+        f"sqrt(2.0::DOUBLE * m.d - unseen) AS distance FROM listed JOIN u USING ({_FEATURES})) "
+    )
+
+
 _BOTH_SIDES = (
-    _nearest_sql(8, "true") + _vote_sql("uniform")
+    _listed_sql(8) + _vote_sql("uniform")
     + ", s AS (SELECT 'neighbours' AS model, CASE WHEN in_train THEN 'train' ELSE 'test' END AS side, "
     f"label, prediction, score FROM rows JOIN decided USING ({_FEATURES})), "
     "g AS (SELECT model, side, score, count(*) FILTER (WHERE label = 1) AS pos, "
