@@ -20,6 +20,11 @@ candidate must then share more of them before it is verified.
    least o = ceil(percent * (a + b) / (100 + percent)), so the first l that they share
    are among the first a - o + l and b - o + l: a pair counts only tokens found there.
 
+Each set has a sketch: for every bit, whether an odd number of its tokens fall there. Bits in
+which two sketches differ hold a token of one set only, so sets whose sketches differ in more
+than a + b - 2 * o bits cannot link. Such pairs go before anything is made of them, which
+keeps large groups of near copies that just miss the similarity from giving all their pairs.
+
 Null and empty texts, and those without words, have the empty set and link with nothing;
 fewer words than a shingle has are one shingle. Rows that repeat have equal sets and so
 are one node. Further columns are not looked at.
@@ -48,8 +53,10 @@ VERIFY_COST, OTHER_PARTNERS = 10.0, 0.05
 GROUP_TOKENS = 400_000
 #: Rounds of stars, kinds of centres, and the centres that a node is verified with in a round.
 ROUNDS, CENTRES, TRIES = 2, 32, 16
-#: Pairs that a task looks at together.
-PAIRS_AT_ONCE = 500_000
+#: Pairs that a task looks at together, and the bytes of their sketches.
+PAIRS_AT_ONCE, SKETCH_BYTES_AT_ONCE = 200_000, 1 << 23
+#: Bits of the shortest and the longest sketch; between them, at least twice the set's tokens.
+SKETCH_BITS = 64, 8192
 
 _NULL_ID = -(1 << 63)
 _ITEM = np.dtype([("token", "<u8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4"), ("ask", "<i4")])
@@ -70,6 +77,54 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return high, low
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of tokens has its place as remainder."""
+    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(tokens) - 1).bit_length()), SKETCH_BITS[1])
+    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of different lengths that are compared by their places in `blobs`."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.words = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+        self.slot = np.empty(len(blobs), np.int64)
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+        for length in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == length)
+            self.slot[own] = np.arange(len(own))
+            joined = b"".join(blobs[i] for i in own.tolist())
+            self.tables[length, length] = np.frombuffer(joined, np.uint64).reshape(-1, length)
+
+    def folded(self, length: int, to: int) -> np.ndarray:
+        """The sketches of `length` words as those of `to` words: parities of halves add up."""
+        if (length, to) not in self.tables:
+            longer = self.folded(length, 2 * to)
+            self.tables[length, to] = longer[:, :to] ^ longer[:, to:]
+        return self.tables[length, to]
+
+    def differing(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Bits in which each pair differs: never more than tokens that one of them lacks."""
+        out = np.zeros(len(left), np.int64)
+        x, y = self.words[left], self.words[right]
+        for one, other in {*zip(*(v.tolist() for v in np.unique(np.stack([x, y]), axis=1)))}:
+            to = min(one, other)
+            first, second = self.folded(one, to), self.folded(other, to)
+            rows = np.flatnonzero((x == one) & (y == other))
+            step = max(1, SKETCH_BYTES_AT_ONCE // (8 * to))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                bits = first[self.slot[left[part]]] ^ second[self.slot[right[part]]]
+                out[part] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def least_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that two linking sets share at least, by the sum of their sizes."""
+    return -(-percent * sizes // (100 + percent))
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
@@ -157,29 +212,47 @@ def adaptive_prefix(
     return best, tokens[: n - need + best]
 
 
-def _nodes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFrame:
-    """One row per distinct set: node, id of one document, key, size, matches, prefix."""
+def _keyed(
+    slim: DataFrame, id_col: str, text: str, k: int, percent: int, heavy
+) -> DataFrame:
+    """One row per row of `slim`: its id, the hash of its text, size and key of its set, and
+    matches, prefix and sketch of sets that can link with other ones."""
     frequent, counts = heavy
 
     def make():
-        def each(ids, texts):
-            for key, content in zip(ids, texts):
+        def each(ids, numbers, contents, texts):
+            for key, number, content_hash, content in zip(ids, numbers, contents, texts):
                 tokens = shingle_set(content, k)
-                if len(tokens):
-                    ask, prefix = adaptive_prefix(tokens, percent, frequent, counts)
-                    if ask:
-                        yield *set_key(tokens), key, len(tokens), ask, prefix.tobytes()
+                n = len(tokens)
+                own = set_key(tokens) if n else (None, None)
+                ask, prefix = adaptive_prefix(tokens, percent, frequent, counts) if n else (0, None)
+                more = (ask, prefix.tobytes(), sketch(tokens)) if ask else (0, None, None)
+                yield key, number, content_hash, n, *own, *more
 
         return each
 
-    encoded = map_batches(
-        docs.select("_id", text), make, "k1 long, k2 long, _id long, n int, ask int, prefix binary"
+    kind = slim.schema[id_col].dataType.simpleString()
+    made = map_batches(
+        slim.select(id_col, "_id", F.xxhash64(text), text), make,
+        f"{id_col} {kind}, _id long, _content long, n_shingles long, k1 long, k2 long, "
+        "ask int, prefix binary, sketch binary",
+    )
+    return written(made, "jaccard-keys")
+
+
+def _nodes(keyed: DataFrame) -> DataFrame:
+    """One row per distinct set that can link: node, one of its documents, key, size, matches,
+    prefix, sketch."""
+    # Documents of one key have the same set, so all but the document is equal.
+    one = keyed.where("ask > 0").groupBy("k1", "k2").agg(
+        F.min(F.struct("_id", "_content")).alias("_doc"),
+        F.first(F.col("n_shingles").cast("int")).alias("n"),
+        *(F.first(c).alias(c) for c in ("ask", "prefix", "sketch")),
     )
-    # Documents of one key have the same set, size and prefix.
-    one = encoded.groupBy("k1", "k2").agg(
-        F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("n", "ask", "prefix"))
+    return written(
+        one.select("*", "_doc.*").drop("_doc").withColumn("node", F.monotonically_increasing_id()),
+        "jaccard-nodes",
     )
-    return written(one.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
@@ -232,8 +305,30 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
     return written(dealt.groupBy("g").applyInPandas(shared, _SHARED), "jaccard-shared")
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sketches allow that they link."""
+    for side in ("a", "b"):
+        own = nodes.select(
+            F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")
+        )
+        pairs = pairs.join(own, side)
+
+    def make():
+        def each(a, b, n_a, n_b, s_a, s_b):
+            sizes = np.array(n_a, np.int64) + np.array(n_b, np.int64)
+            at = np.arange(len(a))
+            differ = Sketches(s_a + s_b).differing(at, at + len(a))
+            fits = differ <= sizes - 2 * least_overlap(sizes, percent)
+            return [(a[i], b[i]) for i in np.flatnonzero(fits).tolist()]
+
+        return each
+
+    columns = ("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return map_batches(pairs.select(*columns), make, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets link; `texts` has (node, text, k1, k2)."""
+    """Those of `pairs` (a, b) whose sets link; `texts` has (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col(text).alias("_a"))
     right = texts.select(F.col("node").alias("b"), F.col(text).alias("_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -289,16 +384,25 @@ def _star(marked: DataFrame, turn: int, percent: int) -> DataFrame:
     return few.select(F.col("node").alias("a"), F.explode("_best.b").alias("b"))
 
 
-def _across(marked: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share enough tokens early in their prefixes."""
+def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share enough tokens early in their prefixes and
+    whose sketches allow that they link."""
     total = marked.count()
     groups = max(1, math.ceil(total / GROUP_TOKENS))
     rows = marked.withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups)))
+    # A node's sketch goes once to each group that has tokens of it.
+    near = rows.select(F.col("g").alias("_g"), F.col("node").alias("known")).distinct().join(
+        nodes.select(F.col("node").alias("known"), "sketch"), "known"
+    )
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+    def pairs(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["token", "component"], kind="stable")
         token, component = part["token"].to_numpy(), part["component"].to_numpy()
         node, n, ask, place = (part[c].to_numpy(np.int64) for c in ("node", "n", "ask", "at"))
+        known = own["known"].to_numpy(np.int64)
+        order = np.argsort(known)
+        slot = order[np.searchsorted(known[order], node)]
+        sketches = Sketches(own["sketch"].tolist())
         count = len(part)
         changes = np.flatnonzero(np.diff(token)) + 1
         ends = np.append(changes, count)[np.searchsorted(changes, np.arange(count), "right")]
@@ -308,19 +412,20 @@ def _across(marked: DataFrame, percent: int) -> DataFrame:
         begins = others[np.searchsorted(others, np.arange(count), "right")]
         found = []
         many = np.maximum(ends - begins, 0)
+        before = np.append(0, np.cumsum(many))
         at = 0
         while at < count:
-            to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS_AT_ONCE)) + at)
+            # At least one row, which has at most as many partners as the group has rows.
+            to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS_AT_ONCE, "right")) - 1)
             left = np.repeat(np.arange(at, to), many[at:to])
-            step = np.arange(len(left)) - np.repeat(
-                np.cumsum(many[at:to]) - many[at:to], many[at:to]
-            )
-            right = begins[left] + step
+            right = begins[left] + np.arange(len(left)) - (before[left] - before[at])
             low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            overlap = -(-percent * (low + high) // (100 + percent))
+            overlap = least_overlap(low + high, percent)
             spare = np.minimum(ask[left], ask[right]) - overlap
             fits = (100 * low >= percent * high) & (place[left] < n[left] + spare)
             fits &= place[right] < n[right] + spare
+            left, right, most = left[fits], right[fits], (low + high - 2 * overlap)[fits]
+            fits = sketches.differing(slot[left], slot[right]) <= most
             left, right = left[fits], right[fits]
             found.append(
                 pd.DataFrame(
@@ -332,9 +437,14 @@ def _across(marked: DataFrame, percent: int) -> DataFrame:
                 ).groupby(["a", "b"], as_index=False).agg(ask=("ask", "min"), n=("ask", "size"))
             )
             at = to
-        return pd.concat(found)
+        if not found:
+            return pd.DataFrame({c: [] for c in ("a", "b", "ask", "n")})
+        return pd.concat(found).groupby(["a", "b"], as_index=False).agg({"ask": "min", "n": "sum"})
 
-    made = rows.groupBy("g").applyInPandas(pairs, "a long, b long, ask int, n long")
+    made = (
+        rows.groupBy("g").cogroup(near.groupBy("_g"))
+        .applyInPandas(pairs, "a long, b long, ask int, n long")
+    )
     return (
         made.groupBy("a", "b").agg(F.min("ask").alias("ask"), F.sum("n").alias("n"))
         .where(F.col("n") >= F.col("ask")).select("a", "b")
@@ -358,53 +468,35 @@ def _components(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"),
     )
     heavy = frequent_tokens(slim, text, k, frequent=frequent, most_frequent=most_frequent)
-    nodes = _nodes(slim, text, k, percent, heavy)
+    keyed = _keyed(slim, id_col, text, k, percent, heavy)
+    nodes = _nodes(keyed)
     shared = _shared_tokens(nodes)
 
-    def keys():
-        def each(ids, hashes, texts):
-            for key, content_hash, content in zip(ids, hashes, texts):
-                tokens = shingle_set(content, k)
-                found = set_key(tokens) if len(tokens) else (None, None)
-                yield key, content_hash, len(tokens), *found
-
-        return each
-
-    needed = shared.select("node").distinct().join(
-        nodes.select("node", "_id", "k1", "k2"), "node"
+    # By id and content, as ids may repeat or be missing.
+    needed = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    texts = slim.select("_id", F.xxhash64(text).alias("_content"), text).join(
+        needed.select("node", "_id", "_content"), ["_id", "_content"]
     )
-
-    def same_set():
-        def each(ids, first, second, texts):
-            for node, k1, k2, content in zip(ids, first, second, texts):
-                if set_key(shingle_set(content, k)) == (k1, k2):
-                    yield node, content
-
-        return each
-
-    texts = needed.join(slim.select("_id", text), "_id").select("node", "k1", "k2", text)
-    texts = written(map_batches(texts, same_set, f"node long, {text} string"), "jaccard-texts")
+    texts = written(texts.select("node", text), "jaccard-texts")
     # Rows that repeat id and text would come twice.
     texts = texts.dropDuplicates(["node"]) if docs_repeat(texts) else texts
 
-    found = _verified(_star(shared, 0, percent), texts, text, k, percent)
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, texts, text, k, percent)
+
+    found = verified(_plausible(_star(shared, 0, percent), nodes, percent))
     for turn in range(1, ROUNDS + 1):
         _, mixed = _labelled(shared, found)
         mixed = written(mixed, "jaccard-mixed")
         if turn < ROUNDS:
             star = _star(mixed, turn, percent)
-            found = found.unionByName(_verified(star, texts, text, k, percent))
-    found = found.unionByName(_verified(_across(mixed, percent), texts, text, k, percent))
+            found = found.unionByName(verified(_plausible(star, nodes, percent)))
+    found = found.unionByName(verified(_across(mixed, nodes, percent)))
     parts = connected_components(found)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    keyed = map_batches(
-        slim.select(id_col, F.xxhash64(text), text), keys,
-        f"{id_col} {kind}, _content long, n_shingles long, k1 long, k2 long",
-    )
-    keyed = written(keyed, "jaccard-keys")
     # Nodes in components of several; all other documents group by their own key.
     named = parts.join(nodes.select("node", "k1", "k2"), "node").select("k1", "k2", "component")
+    keyed = keyed.select(id_col, "_content", "n_shingles", "k1", "k2")
     least = (
         keyed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(id_col).alias("_least"))
         .join(named, ["k1", "k2"], "left")

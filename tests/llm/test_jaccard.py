@@ -101,3 +101,40 @@ def test_different_texts_that_share_an_id_or_have_none_stay(spark, words):
     kept = sorted((r.doc_id is None, r.doc_id or 0, texts.index(r.text) if r.text in texts else 9)
                   for r in jaccard.one_per_component(copies).collect())
     assert kept == [(False, 5, 9), (False, 7, 2), (False, 8, 1), (False, 9, 4), (True, 0, 0)]
+
+
+def test_sketches_never_differ_more_than_sets(words):
+    sizes, sets = [1, 3, 20, 31, 33, 90, 300, 5000, 9000], []
+    for n in sizes:
+        a = words(n, 100_000)
+        b = [w if i % 11 else "other" for i, w in enumerate(a)]
+        sets += [jaccard.shingle_set(" ".join(t), 1) for t in (a, b, a[: n // 2 + 1], a + b[:7])]
+    sketches = jaccard.Sketches([jaccard.sketch(s) for s in sets])
+    left, right = (i.ravel() for i in np.indices((len(sets), len(sets))))
+    differ = sketches.differing(left, right)
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(left, right)])
+    assert (differ <= apart).all() and (differ[left == right] == 0).all()
+    # Near copies of up to a few thousand tokens are told apart.
+    for i, size in enumerate(sizes[3:8], 3):
+        assert differ[(left == 4 * i) & (right == 4 * i + 1)] > 0.4 * apart[(left == 4 * i) & (right == 4 * i + 1)]
+
+
+def test_group_that_just_misses_gives_few_pairs(spark, words):
+    """Near copies that differ in too much: nearly no pair is left to verify."""
+    base, docs = words(120, 5000), []
+    for d in range(150):
+        text = list(base)
+        for i in range(3):
+            text[(7 * d + 40 * i) % 120] = f"x{d}"
+        docs.append((d, " ".join(text)))
+    table = spark.createDataFrame(docs, "_id long, text string")
+    heavy = jaccard.frequent_tokens(table, "text", 4, frequent=4, most_frequent=1000)
+    nodes = jaccard._nodes(jaccard._keyed(table.selectExpr("_id AS doc_id", "text", "_id"), "doc_id", "text", 4, 85, heavy))
+    shared = jaccard._shared_tokens(nodes)
+    marked = shared.withColumn("component", shared.node)
+    across = {(r.a, r.b) for r in jaccard._across(marked, nodes, 85).collect()}
+    of = {r.node: r._id for r in nodes.collect()}
+    sets = {d: jaccard.shingle_set(t, 4) for d, t in docs}
+    links = {(a, b) for a in of for b in of if a < b and jaccard.links(sets[of[a]], sets[of[b]], 85)}
+    assert links <= across
+    assert len(across) <= len(links) + 150 * 149 // 20
