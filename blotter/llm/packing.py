@@ -14,13 +14,14 @@ gives no piece.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,8 +39,8 @@ CACHE_CHUNKS = 200_000
 JOINED = 100
 
 
-#: Letters and then marks, which the tokenizer always takes apart.
-_TAILED = re.compile(r"([^\W\d_]+)([.,;:!?*#$%&]+)")
+#: Marks that the tokenizer always takes apart from letters before them.
+_MARKS = ".,;:!?*#$%&"
 
 
 class ChunkTokenizer:
@@ -76,12 +77,13 @@ class ChunkTokenizer:
     def _learn(self, chunks: set[str]) -> None:
         words, tails, rest = [], {}, []
         for chunk in chunks:
-            if _is_word(chunk):
-                words.append(chunk)
-            elif (m := _TAILED.fullmatch(chunk)) and _is_word(m[1]):
-                tails[chunk] = m.groups()
-            else:
+            stem = chunk.rstrip(_MARKS)
+            if not stem or not _is_word(stem):
                 rest.append(chunk)
+            elif len(stem) < len(chunk):
+                tails[chunk] = stem, chunk[len(stem) :]
+            else:
+                words.append(chunk)
         stems = self._find({part for pair in tails.values() for part in pair}.difference(words))
         for stem in stems:
             (words if _is_word(stem) else rest).append(stem)
@@ -104,13 +106,23 @@ class ChunkTokenizer:
             self.young[chunk] = self.young[stem] + self.young[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        lines = pa.array([_lowered(t).replace("\n", " ") for t in texts], pa.large_string())
+        split = pc.split_pattern(lines, " ")
+        chunks = split.values.dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.young) > CACHE_CHUNKS:
             self.old, self.young = self.young, {}
-        if new := self._find(set().union(*split)):
+        if new := self._find(set(distinct)):
             self._learn(new)
-        take = self.young.__getitem__
-        return [b"".join(map(take, chunks)) for chunks in split]
+        known = [self.young[chunk] for chunk in distinct]
+        # The ids of every chunk in turn, taken from those of the distinct chunks.
+        each = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        which = chunks.indices.to_numpy()
+        ids, first, count = np.frombuffer(b"".join(known), "<u2"), np.cumsum(each) - each, each[which]
+        ends = np.append(0, np.cumsum(count))
+        taken = ids[np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], count)]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [taken[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 def _lowered(text: str) -> str:
