@@ -55,8 +55,8 @@ GROUP_TOKENS = 400_000
 ROUNDS, CENTRES, TRIES = 2, 32, 16
 #: Pairs that a task looks at together, and the bytes of their sketches.
 PAIRS_AT_ONCE, SKETCH_BYTES_AT_ONCE = 200_000, 1 << 23
-#: Bits of the shortest and the longest sketch; between them, at least twice the set's tokens.
-SKETCH_BITS = 64, 8192
+#: Bits of the shortest and the longest sketch; between them, at least 8 for each token.
+SKETCH_BITS = 64, 1 << 15
 
 _NULL_ID = -(1 << 63)
 _ITEM = np.dtype([("token", "<u8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4"), ("ask", "<i4")])
@@ -79,7 +79,7 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 def sketch(tokens: np.ndarray) -> bytes:
     """For each bit, whether an odd number of tokens has its place as remainder."""
-    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(tokens) - 1).bit_length()), SKETCH_BITS[1])
+    bits = min(max(SKETCH_BITS[0], 1 << (8 * len(tokens) - 1).bit_length()), SKETCH_BITS[1])
     at = (tokens & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
