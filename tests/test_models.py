@@ -178,6 +178,39 @@ def test_logistic_learns_the_label(rows):
     assert ml.headline_scores(scored).first().accuracy > 0.7
 
 
+def test_a_search_fits_on_one_row_per_combination_without_names(rows):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from blotter.ml.models import _encoded
+
+    _, df = rows
+    cells = ml.compress(ml.folds_by_hash(df, "id", 3), [*FEATURES, "label", "fold"])
+    encoding = ml.encoder(FEATURES).fit(cells)
+    encoded = _encoded(cells, FEATURES, encoding, 3)
+    assert encoded.count() == df.select(*FEATURES, "label").distinct().count() < cells.count()
+    assert encoded.schema["features"].metadata == {}
+    assert sum(encoded.agg(*[F.sum(f"fold_{i}") for i in range(3)]).first()) == df.count()
+
+    search = ml.logistic_search(df, FEATURES, "label", "id", {"C": [0.5], "folds": 3})
+    plain = LogisticRegression(
+        regParam=1 / (0.5 * df.count() * 2 / 3), standardization=False, weightCol="weight", maxIter=1000
+    )
+    scorer = MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight")
+    whole = encoding.transform(cells)
+    accuracies = [
+        scorer.evaluate(plain.fit(whole.filter(F.col("fold") != i)).transform(whole.filter(F.col("fold") == i)))
+        for i in range(3)
+    ]
+    assert search.report.first().accuracy == pytest.approx(np.mean(accuracies))
+
+
+def test_a_fold_without_rows_is_refused(table):
+    few = table([(1, "x", 0)], "id long, a string, label int")
+    with pytest.raises(ValueError, match="fold . is empty"):
+        ml.logistic_search(few, ["a"], "label", "id", {"C": [1.0], "folds": 2})
+
+
 def test_weights_give_the_same_logistic_model_as_rows(rows):
     from pyspark.ml.classification import LogisticRegression
 
