@@ -412,6 +412,29 @@ def test_the_tree_grid_matches_single_trees(rows):
     assert len(found) == 4
 
 
+def test_a_grid_writes_a_row_per_combination_and_tree_and_keeps_no_level(rows, spark, monkeypatch):
+    from blotter import storage
+    from blotter.ml.trees import grid_accuracy
+
+    _, df = rows
+    cells = ml.compress(ml.folds_by_hash(df, "id", 3), [*FEATURES, "label", "fold"])
+    sizes, paths, write = [], [], storage.Stages.write
+
+    def noted(self, table):
+        out = write(self, table)
+        sizes.append(out.count())
+        paths.append(self.path)
+        return out
+
+    monkeypatch.setattr(storage.Stages, "write", noted)
+    grid_accuracy(cells, FEATURES, {"max_depth": [2], "min_leaf": [1, 9]}, 3).collect()
+    assert sizes[0] == df.select(*FEATURES).distinct().count() * 6 < cells.count() * 6
+    assert len(paths) == 3
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def test_trees_of_one_class_missing_values_and_no_rows(table):
     schema = "a string, b string, label int, weight double"
     pure = grown(ml.grow_trees(table([("x", "y", 1, 2.0), ("z", None, 1, 3.0)], schema), ["a", "b"]))
