@@ -4,9 +4,10 @@ Vectors are turned into integers and routed to cells by median splits that are f
 a bounded sample; every vector is indexed. A cell falls into blocks of bounded size, and
 each block is a shard with a KD-tree: median splits down to small leaves, tight boxes.
 A query is searched in its own cell first. Its k-th best score then goes along to all
-cells whose box could hold more; there each tree is traversed best first by the bound of
-box and query, and left when no bound reaches the k-th score. Bounds are never below a
-score in the box, ties at the k-th score are followed, so results are exact.
+cells whose box could hold more; there queries go down each tree in batches, first to the
+leaf of the best bounds of box and query, then wherever a bound reaches the k-th score.
+Bounds are never below a score in the box, ties at the k-th score are followed, so results
+are exact.
 
 Of equal vectors only the k + 1 smallest ids are indexed, which is all that a result can
 name, so a vector that a large share of the rows has makes no large shard. Rows with a
@@ -19,7 +20,6 @@ those of their own dimension. Scores are exact below 2**53. An empty table gives
 
 from __future__ import annotations
 
-import heapq
 import io
 import math
 
@@ -39,8 +39,8 @@ SAMPLE = 4096
 CELL_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 8192, 32
 #: Cells of one dimension, at most; blocks take up what is beyond.
 MAX_LEVELS = 8
-#: Queries that go through a tree together.
-QUERY_ROWS = 1024
+#: Queries that go through a tree together, and hits beyond their best that they keep.
+QUERY_ROWS, HITS_AT_ONCE = 1024, 1 << 16
 
 
 def quantised(rows: DataFrame, *, id_col: str, vector: str, scale: int) -> DataFrame:
@@ -119,38 +119,79 @@ def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return np.maximum(q, 0) @ high.astype(np.float64).T + np.minimum(q, 0) @ low.astype(np.float64).T
 
 
+class _Best:
+    """Hits of a batch of queries, of which the k best of each query are kept."""
+
+    def __init__(self, kth: np.ndarray, k: int) -> None:
+        self.least, self.k = np.array(kth, np.float64), k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, 4 * k * len(kth) + HITS_AT_ONCE
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((at, ids, scores))
+        self.size += len(at)
+        if self.size > self.most:
+            self.tighten()
+
+    def tighten(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Drop what k other hits of its query beat; each query's k-th score is its least one."""
+        at, ids, scores = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else [
+            np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        ]
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        last = rank == self.k - 1
+        self.least[at[last]] = np.maximum(self.least[at[last]], scores[last])
+        kept = rank < self.k
+        self.parts = [(at[kept], ids[kept], scores[kept])]
+        self.size = int(kept.sum())
+        return self.parts[0]
+
+
 def search_tree(
     tree: dict[str, np.ndarray], ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int
 ) -> list[tuple[int, int, int]]:
     """(query, id, score) of up to k rows per query that can be among its best.
 
-    `kth` is a score that k other rows reach already, or -inf.
+    `kth` is a score that k other rows reach already, or -inf. The queries go down the tree
+    together: each first to the leaf of the best bounds, then to all nodes whose bound reaches
+    its k-th score, and the queries that meet in a leaf are scored by one matrix product.
     """
     limit = bounds(queries, tree["low"], tree["high"])
-    points = tree["points"].astype(np.float64)
-    found = []
-    for i, me in enumerate(ids.tolist()):
-        q, mine, least = queries[i].astype(np.float64), limit[i], kth[i]
-        best: list[tuple[float, int]] = []
-        todo = [(-mine[0], 0)]
-        while todo and -todo[0][0] >= least:
-            left, right, start, end = tree["nodes"][heapq.heappop(todo)[1]].tolist()
-            if left >= 0:
-                for child in (left, right):
-                    if mine[child] >= least:
-                        heapq.heappush(todo, (-mine[child], child))
-                continue
-            scores = points[start:end] @ q
-            for j in np.flatnonzero(scores >= least).tolist():
-                other = int(tree["ids"][start + j])
-                if other != me:
-                    heapq.heappush(best, (scores[j], -other))
-                    if len(best) > k:
-                        heapq.heappop(best)
-            if len(best) == k:
-                least = max(least, best[0][0])
-        found += [(me, -other, int(score)) for score, other in best]
-    return found
+    points, q = tree["points"].astype(np.float64), queries.astype(np.float64)
+    left, right, start, end = tree["nodes"].T
+    best = _Best(kth, k)
+
+    def score(node: int, at: np.ndarray) -> None:
+        rows = slice(int(start[node]), int(end[node]))
+        scores, others = q[at] @ points[rows].T, tree["ids"][rows]
+        hits = (scores >= best.least[at][:, None]) & (others[None, :] != ids[at][:, None])
+        i, j = np.nonzero(hits)
+        best.add(at[i], others[j], scores[i, j])
+
+    everyone = np.flatnonzero(limit[:, 0] >= best.least)
+    first = np.full(len(ids), -1)
+    first[everyone] = 0
+    while len(inner := everyone[left[first[everyone]] >= 0]):
+        one, other = left[first[inner]], right[first[inner]]
+        first[inner] = np.where(limit[inner, other] > limit[inner, one], other, one)
+    order = everyone[np.argsort(first[everyone], kind="stable")]
+    for at in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+        if len(at):
+            score(int(first[at[0]]), at)
+    best.tighten()
+    todo = [(0, everyone)]
+    while todo:
+        node, at = todo.pop()
+        at = at[limit[at, node] >= best.least[at]]
+        if left[node] >= 0:
+            if len(at):
+                todo += [(int(right[node]), at), (int(left[node]), at)]
+        elif len(at := at[first[at] != node]):
+            score(node, at)
+    at, others, scores = best.tighten()
+    return list(zip(ids[at].tolist(), others.tolist(), scores.astype(np.int64).tolist()))
 
 
 def _array(blobs, dims: int) -> np.ndarray:
@@ -272,17 +313,23 @@ def top_k(
         boxes.setdefault(len(box), []).append((cell, [b[1] for b in box], [b[2] for b in box]))
 
     def spread():
+        sides = {
+            dims: tuple(np.array(x) for x in zip(*others)) for dims, others in boxes.items()
+        }
+
         def each(cells, ids, vectors, least):
-            for own, me, v, kth in zip(cells, ids, vectors, least):
-                q = np.frombuffer(v, "<i8")
-                others = boxes.get(len(q), [])
-                if not others:
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_size.setdefault(len(v) // 8, []).append(i)
+            for dims, at in by_size.items():
+                if dims not in sides:
                     continue
-                limit = bounds(
-                    q[None, :], np.array([b[1] for b in others]), np.array([b[2] for b in others])
-                )[0]
-                for cell in {b[0] for b, x in zip(others, limit) if x >= kth} - {own}:
-                    yield cell, me, v, kth
+                names, low, high = sides[dims]
+                limit = bounds(_array([vectors[i] for i in at], dims), low, high)
+                reached = limit >= np.array([least[i] for i in at])[:, None]
+                reached &= names != np.array([cells[i] for i in at])[:, None]
+                for i, j in zip(*(x.tolist() for x in np.nonzero(reached))):
+                    yield int(names[j]), ids[at[i]], vectors[at[i]], least[at[i]]
 
         return each
 

@@ -1,3 +1,5 @@
+import sys
+
 import numpy as np
 
 from blotter.llm import topk
@@ -60,3 +62,32 @@ def test_all_vectors_of_an_id_take_part(spark, monkeypatch):
         ]
         best = sorted(found, key=lambda x: (-x[0], x[1]))[:7]
         assert [got[q][n + 1] for n in range(7)] == best
+
+
+def test_queries_go_through_a_tree_together():
+    """Calls grow with the leaves, not with the pairs of query and leaf, and results stay exact."""
+    chance = np.random.default_rng(4)
+    points = chance.integers(-40, 41, (3000, 24))
+    points[500:540] = points[3]
+    others, asked = np.arange(3000) // 2, np.arange(400) * 3
+    queries, kth = chance.integers(-40, 41, (400, 24)), np.full(400, -np.inf)
+    kth[::4] = np.sort(queries[::4] @ points.T, axis=1)[:, -5]
+    kth[7] = 1e9
+    with np.load(topk.io.BytesIO(topk.build_tree(others, points))) as file:
+        tree = dict(file)
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = topk.search_tree(tree, asked, queries, kth, 9)
+    finally:
+        sys.setprofile(None)
+    leaves = int((tree["nodes"][:, 0] < 0).sum())
+    assert calls[0] < 200 * leaves
+    scores = queries @ points.T
+    for i, me in enumerate(asked.tolist()):
+        fit = [(-s, o) for s, o in zip(scores[i].tolist(), others.tolist()) if o != me and s >= kth[i]]
+        assert sorted((-s, o) for q, o, s in found if q == me) == sorted(fit)[:9]
