@@ -43,14 +43,17 @@ from pyspark.sql import functions as F
 from blotter.llm.common import extras_renamed, map_batches, window_hashes, word_hashes, written
 from blotter.llm.components import connected_components
 from blotter.llm.registry import query, table
+from blotter.storage import Stages
 
 #: Documents from which a token counts as frequent, and the longest list of such tokens.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
 #: Matches that a set may ask for, and the cost of verifying against that of indexing.
 MATCHES = (1, 2, 3, 4, 6, 8)
 VERIFY_COST, OTHER_PARTNERS = 10.0, 0.05
-#: Prefix tokens that meet in one group.
-GROUP_TOKENS = 400_000
+#: Prefix tokens that meet in one group, and those that a task deals out at once.
+GROUP_TOKENS, DEALT_AT_ONCE = 400_000, 200_000
+#: Tokens that a task takes up before it counts them.
+COUNTED_AT_ONCE = 500_000
 #: Rounds of stars, kinds of centres, and the centres that a node is verified with in a round.
 ROUNDS, CENTRES, TRIES = 2, 32, 16
 #: Pairs that a task looks at together, and the bytes of their sketches.
@@ -143,15 +146,17 @@ def frequent_tokens(
             self.seen: set[bytes] = set()
             self.parts: list[np.ndarray] = []
             self.size = 0
-            self.tokens, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+            self.tokens, self.counts = np.empty(0, np.uint64), np.empty(0, np.int32)
 
         def fold(self) -> None:
             fresh, n = np.unique(np.concatenate(self.parts), return_counts=True)
-            tokens, at = np.unique(np.concatenate([self.tokens, fresh]), return_inverse=True)
-            self.counts = np.bincount(
-                at, np.concatenate([self.counts, n]), len(tokens)
-            ).astype(np.int64)
-            self.tokens, self.parts, self.size = tokens, [], 0
+            self.parts, self.size = [], 0
+            at = np.searchsorted(self.tokens, fresh)
+            known = at < len(self.tokens)
+            known[known] = self.tokens[at[known]] == fresh[known]
+            self.counts[at[known]] += n[known].astype(np.int32)
+            self.tokens = np.insert(self.tokens, at[~known], fresh[~known])
+            self.counts = np.insert(self.counts, at[~known], n[~known].astype(np.int32))
 
         def __call__(self, texts):
             for content in texts:
@@ -161,7 +166,7 @@ def frequent_tokens(
                     self.seen.add(key)
                     self.parts.append(tokens)
                     self.size += len(tokens)
-            if self.size > 2_000_000:
+            if self.size > COUNTED_AT_ONCE:
                 self.fold()
             return self.told() if len(self.tokens) > 8_000_000 else []
 
@@ -171,7 +176,7 @@ def frequent_tokens(
                 self.fold()
             twice = self.counts > 1
             found = zip(self.tokens[twice].astype(np.int64).tolist(), self.counts[twice].tolist())
-            self.tokens, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+            self.tokens, self.counts = np.empty(0, np.uint64), np.empty(0, np.int32)
             return list(found)
 
     told = map_batches(docs.select(text), Counter, "token long, n long", last=Counter.told)
@@ -213,10 +218,10 @@ def adaptive_prefix(
 
 
 def _keyed(
-    slim: DataFrame, id_col: str, text: str, k: int, percent: int, heavy
+    slim: DataFrame, id_col: str, text: str, k: int, percent: int, heavy, stages: Stages | None = None
 ) -> DataFrame:
     """One row per row of `slim`: its id, the hash of its text, size and key of its set, and
-    matches, prefix and sketch of sets that can link with other ones."""
+    matches, prefix and sketch of sets that can link with other ones. It is written by `stages`."""
     frequent, counts = heavy
 
     def make():
@@ -237,22 +242,20 @@ def _keyed(
         f"{id_col} {kind}, _id long, _content long, n_shingles long, k1 long, k2 long, "
         "ask int, prefix binary, sketch binary",
     )
-    return written(made, "jaccard-keys")
+    return (stages or Stages(slim.sparkSession, "jaccard-keys")).write(made)
 
 
-def _nodes(keyed: DataFrame) -> DataFrame:
+def _nodes(keyed: DataFrame, stages: Stages | None = None) -> DataFrame:
     """One row per distinct set that can link: node, one of its documents, key, size, matches,
-    prefix, sketch."""
+    prefix, sketch. It is written by `stages`."""
     # Documents of one key have the same set, so all but the document is equal.
     one = keyed.where("ask > 0").groupBy("k1", "k2").agg(
         F.min(F.struct("_id", "_content")).alias("_doc"),
         F.first(F.col("n_shingles").cast("int")).alias("n"),
         *(F.first(c).alias(c) for c in ("ask", "prefix", "sketch")),
     )
-    return written(
-        one.select("*", "_doc.*").drop("_doc").withColumn("node", F.monotonically_increasing_id()),
-        "jaccard-nodes",
-    )
+    numbered = one.select("*", "_doc.*").drop("_doc").withColumn("node", F.monotonically_increasing_id())
+    return (stages or Stages(keyed.sparkSession, "jaccard-nodes")).write(numbered)
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
@@ -274,7 +277,8 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
                 items["at"] = np.arange(len(items))
                 self.parts.append(items)
                 self.size += len(items)
-            return self.dealt() if self.size > 1_000_000 else []
+                if self.size > DEALT_AT_ONCE:
+                    yield from self.dealt()
 
         def dealt(self):
             if not self.parts:
@@ -468,16 +472,24 @@ def _components(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"),
     )
     heavy = frequent_tokens(slim, text, k, frequent=frequent, most_frequent=most_frequent)
-    keyed = _keyed(slim, id_col, text, k, percent, heavy)
-    nodes = _nodes(keyed)
+    # Prefixes and sketches are the bulk of both tables: what is read no more goes.
+    spark = slim.sparkSession
+    key_stages, node_stages = Stages(spark, "jaccard-keys"), Stages(spark, "jaccard-nodes")
+    text_stages, mixed_stages = Stages(spark, "jaccard-texts"), Stages(spark, "jaccard-mixed")
+    keyed = _keyed(slim, id_col, text, k, percent, heavy, key_stages)
+    nodes = _nodes(keyed, node_stages)
+    keyed = key_stages.write(keyed.select(id_col, "_content", "n_shingles", "k1", "k2"))
     shared = _shared_tokens(nodes)
+    # A node that shares no token is in no pair.
+    nodes = node_stages.write(
+        nodes.drop("ask", "prefix").join(shared.select("node").distinct(), "node", "left_semi")
+    )
 
     # By id and content, as ids may repeat or be missing.
-    needed = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     texts = slim.select("_id", F.xxhash64(text).alias("_content"), text).join(
-        needed.select("node", "_id", "_content"), ["_id", "_content"]
+        nodes.select("node", "_id", "_content"), ["_id", "_content"]
     )
-    texts = written(texts.select("node", text), "jaccard-texts")
+    texts = text_stages.write(texts.select("node", text))
     # Rows that repeat id and text would come twice.
     texts = texts.dropDuplicates(["node"]) if docs_repeat(texts) else texts
 
@@ -487,16 +499,17 @@ def _components(
     found = verified(_plausible(_star(shared, 0, percent), nodes, percent))
     for turn in range(1, ROUNDS + 1):
         _, mixed = _labelled(shared, found)
-        mixed = written(mixed, "jaccard-mixed")
+        mixed = mixed_stages.write(mixed)
         if turn < ROUNDS:
             star = _star(mixed, turn, percent)
             found = found.unionByName(verified(_plausible(star, nodes, percent)))
     found = found.unionByName(verified(_across(mixed, nodes, percent)))
+    text_stages.clear()
+    mixed_stages.clear()
     parts = connected_components(found)
 
     # Nodes in components of several; all other documents group by their own key.
     named = parts.join(nodes.select("node", "k1", "k2"), "node").select("k1", "k2", "component")
-    keyed = keyed.select(id_col, "_content", "n_shingles", "k1", "k2")
     least = (
         keyed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(id_col).alias("_least"))
         .join(named, ["k1", "k2"], "left")

@@ -1,6 +1,9 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from blotter import storage
 from blotter.llm import jaccard
 
 
@@ -138,3 +141,66 @@ def test_group_that_just_misses_gives_few_pairs(spark, words):
     links = {(a, b) for a in of for b in of if a < b and jaccard.links(sets[of[a]], sets[of[b]], 85)}
     assert links <= across
     assert len(across) <= len(links) + 150 * 149 // 20
+
+
+def test_tables_that_are_read_no_more_go(spark, words, tmp_path, monkeypatch):
+    """Texts, and the prefixes and sketches of all rows, don't stay until the end."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    base = words(60, 5000)
+    docs = [(d, " ".join([*base[:d], f"x{d}", *base[d + 1 :]])) for d in range(30)]
+    docs += [(100 + d, " ".join(words(60, 90_000))) for d in range(30)]
+    rows = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k=4, percent=80)
+    assert {r.component_id for r in rows.collect()} == {0, *range(100, 130)}
+    left = {}
+    for path in tmp_path.iterdir():
+        left.setdefault(path.name.rsplit("-", 1)[0], []).append(spark.read.parquet(str(path)))
+    named = {name: tables for name, tables in left.items() if name.startswith("jaccard")}
+    assert not {"jaccard-texts", "jaccard-mixed"} & set(named)
+    (keys,), (nodes,) = named["jaccard-keys"], named["jaccard-nodes"]
+    assert keys.count() == 60 and set(keys.columns) == {"doc_id", "_content", "n_shingles", "k1", "k2"}
+    assert nodes.count() <= 30 and "prefix" not in nodes.columns
+
+
+def _made(spark, monkeypatch, call):
+    """The function of a task that `call` gives to `map_batches`."""
+    made = []
+
+    def stop(df, make, schema, last=None):
+        made.extend([make, last])
+        raise InterruptedError
+
+    monkeypatch.setattr(jaccard, "map_batches", stop)
+    with pytest.raises(InterruptedError):
+        call()
+    return made
+
+
+def test_tasks_take_little_memory(spark, monkeypatch):
+    nodes = spark.createDataFrame([(0, 8, 1, b"")], "node long, n int, ask int, prefix binary")
+    make, last = _made(spark, monkeypatch, lambda: jaccard._shared_tokens(nodes))
+    chance, dealer, dealt = np.random.default_rng(5), make(), 0
+    prefixes = [chance.integers(0, 1 << 63, 20_000, np.uint64).tobytes() for _ in range(40)]
+    tracemalloc.start()
+    for at in range(0, 40, 4):
+        for _, items in dealer(range(4), [20_000] * 4, [1] * 4, prefixes[at : at + 4]):
+            dealt += len(items)
+    dealt += sum(len(items) for _, items in last(dealer))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dealt == 800_000 * jaccard._ITEM.itemsize
+    assert peak < 40e6
+
+
+def test_counts_of_tokens(spark, words, monkeypatch):
+    """The counts are those of all distinct sets, wherever they are folded."""
+    docs = spark.createDataFrame([("",)], "text string")
+    monkeypatch.setattr(jaccard, "COUNTED_AT_ONCE", 100)
+    make, last = _made(
+        spark, monkeypatch, lambda: jaccard.frequent_tokens(docs, "text", 1, frequent=2, most_frequent=9)
+    )
+    counter, texts = make(), [" ".join(words(30, 200)) for _ in range(40)]
+    for at in range(0, 40, 7):
+        assert not counter(texts[at : at + 7] + texts[:1])
+    tokens, counts = np.unique(np.concatenate([jaccard.shingle_set(t, 1) for t in texts]), return_counts=True)
+    twice = counts > 1
+    assert dict(last(counter)) == dict(zip(tokens[twice].astype(np.int64).tolist(), counts[twice].tolist()))
