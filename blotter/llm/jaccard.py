@@ -52,6 +52,8 @@ MATCHES = (1, 2, 3, 4, 6, 8)
 VERIFY_COST, OTHER_PARTNERS = 10.0, 0.05
 #: Prefix tokens that meet in one group, and those that a task deals out at once.
 GROUP_TOKENS, DEALT_AT_ONCE = 400_000, 200_000
+#: Bytes of the tokens across components that meet in one group, each with a sketch.
+GROUP_BYTES = 1 << 26
 #: Tokens that a task takes up before it counts them.
 COUNTED_AT_ONCE = 500_000
 #: Rounds of stars, kinds of centres, and the centres that a node is verified with in a round.
@@ -391,8 +393,10 @@ def _star(marked: DataFrame, turn: int, percent: int) -> DataFrame:
 def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share enough tokens early in their prefixes and
     whose sketches allow that they link."""
-    total = marked.count()
-    groups = max(1, math.ceil(total / GROUP_TOKENS))
+    # A sketch has at most twice as many bytes as its set has tokens.
+    sketch_bytes = F.least(F.greatest(2 * F.col("n"), F.lit(SKETCH_BITS[0] // 8)), F.lit(SKETCH_BITS[1] // 8))
+    total = marked.agg(F.sum(sketch_bytes + _ITEM.itemsize)).first()[0] or 0
+    groups = max(1, math.ceil(total / GROUP_BYTES))
     rows = marked.withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups)))
     # A node's sketch goes once to each group that has tokens of it.
     near = rows.select(F.col("g").alias("_g"), F.col("node").alias("known")).distinct().join(

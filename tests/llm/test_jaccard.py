@@ -143,6 +143,25 @@ def test_group_that_just_misses_gives_few_pairs(spark, words):
     assert len(across) <= len(links) + 150 * 149 // 20
 
 
+def test_pairs_across_meet_in_groups_of_bounded_bytes(spark, words, monkeypatch):
+    """Sketches count for the size of a group; the pairs are the same in many groups."""
+    base, docs = words(120, 5000), []
+    for d in range(60):
+        text = list(base)
+        for i in range(2):
+            text[(7 * d + 40 * i) % 120] = f"x{d}"
+        docs.append((d, " ".join(text)))
+    table = spark.createDataFrame(docs, "_id long, text string")
+    heavy = jaccard.frequent_tokens(table, "text", 4, frequent=4, most_frequent=1000)
+    nodes = jaccard._nodes(jaccard._keyed(table.selectExpr("_id AS doc_id", "text", "_id"), "doc_id", "text", 4, 85, heavy))
+    shared = jaccard._shared_tokens(nodes)
+    marked = shared.withColumn("component", shared.node)
+    whole = sorted((r.a, r.b) for r in jaccard._across(marked, nodes, 85).collect())
+    assert whole
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 1 << 16)
+    assert sorted((r.a, r.b) for r in jaccard._across(marked, nodes, 85).collect()) == whole
+
+
 def test_tables_that_are_read_no_more_go(spark, words, tmp_path, monkeypatch):
     """Texts, and the prefixes and sketches of all rows, don't stay until the end."""
     monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
