@@ -390,14 +390,30 @@ def _star(marked: DataFrame, turn: int, percent: int) -> DataFrame:
     return few.select(F.col("node").alias("a"), F.explode("_best.b").alias("b"))
 
 
-def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share enough tokens early in their prefixes and
-    whose sketches allow that they link."""
+def _grouped(marked: DataFrame) -> DataFrame:
+    """`marked` with the group `g` of each token, of `GROUP_BYTES` with the sketches of its nodes.
+
+    Lists with the same least component mostly have the same nodes, so they lie in one group,
+    unless they are too many, and few groups get the sketch of a node.
+    """
     # A sketch has at most twice as many bytes as its set has tokens.
     sketch_bytes = F.least(F.greatest(2 * F.col("n"), F.lit(SKETCH_BITS[0] // 8)), F.lit(SKETCH_BITS[1] // 8))
-    total = marked.agg(F.sum(sketch_bytes + _ITEM.itemsize)).first()[0] or 0
+    lists = marked.groupBy("token").agg(
+        F.min("component").alias("_low"), F.sum(sketch_bytes + _ITEM.itemsize).alias("_bytes")
+    )
+    lows = lists.groupBy("_low").agg(F.sum("_bytes").alias("_bytes"))
+    total = lows.agg(F.sum("_bytes")).first()[0] or 0
     groups = max(1, math.ceil(total / GROUP_BYTES))
-    rows = marked.withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups)))
+    part = F.pmod(F.xxhash64("token"), F.ceil(F.col("_bytes") / GROUP_BYTES))
+    group = F.pmod(F.xxhash64("_low", part), F.lit(groups))
+    dealt = lists.drop("_bytes").join(lows, "_low").select("token", group.alias("g"))
+    return marked.join(dealt, "token")
+
+
+def _across(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share enough tokens early in their prefixes and
+    whose sketches allow that they link."""
+    rows = _grouped(marked)
     # A node's sketch goes once to each group that has tokens of it.
     near = rows.select(F.col("g").alias("_g"), F.col("node").alias("known")).distinct().join(
         nodes.select(F.col("node").alias("known"), "sketch"), "known"

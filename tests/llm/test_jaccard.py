@@ -162,6 +162,19 @@ def test_pairs_across_meet_in_groups_of_bounded_bytes(spark, words, monkeypatch)
     assert sorted((r.a, r.b) for r in jaccard._across(marked, nodes, 85).collect()) == whole
 
 
+def test_few_groups_get_the_sketch_of_a_node(spark, monkeypatch):
+    """Tokens of near copies lie in one group, and too many of them in several."""
+    rows = [(100 * c + i, 10 * c + d, 0, 50, 1, 10 * c + d) for c in range(40) for i in range(9) for d in range(6)]
+    marked = spark.createDataFrame(rows, jaccard._SHARED + ", component long")
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 4 * 9 * 6 * (100 + jaccard._ITEM.itemsize))
+    grouped = jaccard._grouped(marked)
+    assert grouped.count() == len(rows) and grouped.select("g").distinct().count() > 4
+    assert grouped.select("g", "token").distinct().count() == 40 * 9
+    assert grouped.select("g", "node").distinct().count() == 40 * 6
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 2 * 6 * (100 + jaccard._ITEM.itemsize))
+    assert jaccard._grouped(marked).groupBy("g").count().selectExpr("max(count)").first()[0] < len(rows) // 10
+
+
 def test_tables_that_are_read_no_more_go(spark, words, tmp_path, monkeypatch):
     """Texts, and the prefixes and sketches of all rows, don't stay until the end."""
     monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
