@@ -10,6 +10,7 @@ from blotter.ml import neighbours
 from blotter.storage import materialize, shared_dir
 
 FEATURES = ["a", "b", "c"]
+FOUR = ["IUCR", "Primary_Type", "Domestic", "FBI_Code"]
 
 
 def make_rows(n, seed, hot=0.0):
@@ -435,6 +436,26 @@ def test_a_grid_writes_a_row_per_combination_and_tree_and_keeps_no_level(rows, s
         assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def test_rows_of_nodes_that_cannot_split_are_not_written_again(table, monkeypatch):
+    from blotter import storage
+
+    data = [(a, b, int(a == "x"), 2.0) for a in "xyz" for b in "uvw"]
+    sizes, write = [], storage.Stages.write
+
+    def noted(self, df):
+        out = write(self, df)
+        if self.label == "tree-rows":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(storage.Stages, "write", noted)
+    nodes = grown(ml.grow_trees(table(data, "a string, b string, label int, weight double"), ["a", "b"]))
+    assert sizes == [9, 0]
+    assert {i: (r.n, r.ones, r.value) for i, r in nodes.items()} == {
+        1: (18.0, 6.0, "x"), 2: (12.0, 0.0, None), 3: (6.0, 6.0, None)
+    }
+
+
 def test_trees_of_one_class_missing_values_and_no_rows(table):
     schema = "a string, b string, label int, weight double"
     pure = grown(ml.grow_trees(table([("x", "y", 1, 2.0), ("z", None, 1, 3.0)], schema), ["a", "b"]))
@@ -503,3 +524,31 @@ def test_models_are_compared_side_by_side(table):
             (F.col("model") == model) & (F.col("side") == side)
         )
         assert sorted(tuple(p)[2:] for p in curve.collect()) == sorted(map(tuple, ml.roc_curve(alone).collect()))
+
+
+def test_the_scores_of_all_models_are_written_once(spark, tmp_path, monkeypatch):
+    from checks import models
+    from checks.registry import Tables
+
+    status, priority = ["F", "O", "P"], ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
+    data = [(i, i * 7 % 60, status[i % 3], float(i % 5 * 90_000), priority[i % 4]) for i in range(300)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    orders = spark.createDataFrame(data, schema).withColumn("o_orderdate", F.lit("2020-01-02").cast("timestamp"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    train, _, both = models._sides(t)
+    searches = {
+        "logistic": ml.logistic_search(train, FOUR, "label", "ID", {"C": [1.0], "folds": 2}),
+        "tree": ml.tree_search(train, FOUR, "label", "ID", {"max_depth": [2], "min_leaf": [1], "folds": 2}),
+    }
+    monkeypatch.setattr(models, "_logistic", lambda t: searches["logistic"])
+    monkeypatch.setattr(models, "_tree", lambda t: searches["tree"])
+    scores = models._all_scores(t)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "o_orderkey" not in plan
+    counts = {(r.model, r.side): r["count"] for r in scores.groupBy("model", "side").count().collect()}
+    sides = {r.side: r["count"] for r in both.groupBy("side").count().collect()}
+    assert counts == {(m, s): n for m in ("neighbours", "logistic", "tree") for s, n in sides.items()}
+    for model, search in searches.items():
+        want = sorted(round(r.score, 9) for r in ml.score(search, both, "ID", "label").collect())
+        assert sorted(round(r.score, 9) for r in scores.filter(F.col("model") == model).collect()) == want
