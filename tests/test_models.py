@@ -224,6 +224,81 @@ def test_weights_give_the_same_logistic_model_as_rows(rows):
     assert np.allclose(by_row.coefficients.toArray(), by_weight.coefficients.toArray(), atol=1e-4)
 
 
+def test_shared_passes_end_at_the_optimum_of_the_single_fits(table, monkeypatch):
+    from blotter.ml import logistic, models
+
+    rng = np.random.default_rng(11)
+    data = []
+    for i in range(1500):
+        a, b = (str(rng.integers(0, k)) for k in (9, 4))
+        # Some values occur once, one of them with a missing neighbour, and one value decides the label.
+        c = f"once{i}" if i % 50 == 0 else str(rng.integers(0, 5))
+        label = 0 if a == "3" else int(rng.uniform() < 0.2 + 0.6 * ((int(a) + int(b)) % 3 == 0))
+        data.append((i, a, None if i % 97 == 0 else b, c, label))
+    df = table(data, "id long, a string, b string, c string, label int")
+    grid = {"C": [0.1, 5.0], "folds": 3}
+    single = ml.logistic_search(df, FEATURES, "label", "id", grid)
+    # Several tasks and blocks, and requests in several jobs.
+    monkeypatch.setattr(models, "FEW_ROWS", 0)
+    monkeypatch.setattr(logistic, "TASK_ROWS", 60)
+    monkeypatch.setattr(logistic, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(logistic, "MOST_SUMS", 1500)
+    passes = []
+    answers = logistic._answers
+    monkeypatch.setattr(logistic, "_answers", lambda d, asked: passes.append(len(asked)) or answers(d, asked))
+    shared = ml.logistic_search(df, FEATURES, "label", "id", grid)
+    # The fits share their passes, so there are far fewer of these than steps of all fits.
+    assert max(passes) == 6 and len(passes) < 150
+    assert shared.best == single.best and shared.features == single.features
+    want, got = ({r.C: (r.accuracy, r.is_best) for r in s.report.collect()} for s in (single, shared))
+    assert {c: b for c, (_, b) in want.items()} == {c: b for c, (_, b) in got.items()}
+    for c, (accuracy, _) in want.items():
+        assert got[c][0] == pytest.approx(accuracy, abs=2e-3)
+    before, now = ({r.id: r for r in ml.score(s, df, "id", "label").collect()} for s in (single, shared))
+    assert before.keys() == now.keys() and len(now) == 1500
+    assert max(abs(before[i].score - now[i].score) for i in now) < 1e-4
+    residuals = {(r.feature, r.value): r.residual for r in ml.logistic_optimality(shared, df, "label").collect()}
+    assert max(map(abs, residuals.values())) < 1e-4
+
+
+def test_shared_passes_take_one_class_and_refuse_an_empty_fold(table, monkeypatch):
+    from blotter.ml import models
+
+    monkeypatch.setattr(models, "FEW_ROWS", 0)
+    same = table([(i, str(i % 3), 1) for i in range(40)], "id long, a string, label int")
+    search = ml.logistic_search(same, ["a"], "label", "id", {"C": [1.0], "folds": 2})
+    assert search.report.first().accuracy == 1.0
+    assert {(r.prediction, r.score) for r in ml.score(search, same, "id", "label").collect()} == {(1, 1.0)}
+    few = table([(1, "x", 0)], "id long, a string, label int")
+    with pytest.raises(ValueError, match="fold . is empty"):
+        ml.logistic_search(few, ["a"], "label", "id", {"C": [1.0], "folds": 2})
+
+
+def test_a_search_reads_its_training_rows_once(rows, table, monkeypatch):
+    from blotter.ml import models
+
+    gappy = table(
+        [(1, "x", "p", 1), (2, None, "q", 0), (3, "y", None, 1), (4, "y", "q", 1), (5, "x", None, 0), (6, "x", "p", 1)],
+        "id long, a string, b string, label int",
+    )
+    features, modes, each = models._training_counts(gappy, ["a", "b"], "label", "id", 2)
+    assert features == ["a", "b"] and {r["column"]: (r.value, r.n) for r in modes.collect()} == {
+        r["column"]: (r.value, r.n) for r in ml.mode_values(gappy, ["a", "b"]).collect()
+    }
+    cells = models._cells(gappy, modes, features, "label", "id", 2).collect()
+    got = {(r.a, r.b, r.label): (r.weight, r.fold_0, r.fold_1) for r in each.collect()}
+    want = {}
+    for r in cells:
+        total = want.setdefault((r.a, r.b, r.label), [0.0, 0.0, 0.0])
+        total[0] += r.weight
+        total[1 + r.fold] += r.weight
+    assert got == {k: tuple(v) for k, v in want.items()}
+    # The larger search does not come back to the rows.
+    monkeypatch.setattr(models, "FEW_ROWS", 0)
+    monkeypatch.setattr(models, "_cells", None)
+    ml.logistic_search(rows[1], FEATURES, "label", "id", {"C": [1.0], "folds": 2})
+
+
 def test_tree_learns_and_scores_unseen_and_missing(rows, table):
     _, df = rows
     grid = {"max_depth": [1, 10], "min_leaf": [1], "folds": 3}
