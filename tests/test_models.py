@@ -511,6 +511,62 @@ def test_a_grid_writes_a_row_per_combination_and_tree_and_keeps_no_level(rows, s
         assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def test_trees_of_a_grid_share_rows_and_are_those_grown_alone(table, monkeypatch):
+    from blotter import storage
+    from blotter.ml.models import _training_counts
+    from blotter.ml.trees import accuracy_of_grid, grid_accuracy, grow_grid, tree_of_grid
+
+    rng = np.random.default_rng(5)
+    data = [
+        (i, str(rng.integers(0, 6)), str(rng.integers(0, 4)) if i % 40 else f"once{i}", int(rng.uniform() < 0.4))
+        for i in range(700)
+    ]
+    df = table(data, "id long, a string, b string, label int")
+    features, settings = ["a", "b"], {"max_depth": [1, 3], "min_leaf": [1, 30]}
+    names = ["node", "parent", "depth", "n", "ones", "impurity", "feature", "value", "gain", "held_n", "held_ones"]
+
+    def listed(nodes):
+        return sorted((tuple(r) for r in nodes.select(*names).collect()), key=lambda r: r[0])
+
+    sizes, write = [], storage.Stages.write
+
+    def noted(self, rows):
+        out = write(self, rows)
+        if self.label == "tree-rows":
+            sizes.append(out.count())
+        return out
+
+    _, _, each = _training_counts(df, features, "label", "id", 2)
+    y = F.col("label")
+    combos = each.groupBy(*features).agg(
+        F.sum("weight").alias("_all"), F.sum(F.col("weight") * y).alias("_all_ones"),
+        F.array(*[F.sum(f"fold_{i}") for i in range(2)]).alias("_in"),
+        F.array(*[F.sum(F.col(f"fold_{i}") * y) for i in range(2)]).alias("_in_ones"),
+    )
+    monkeypatch.setattr(storage.Stages, "write", noted)
+    grown = grow_grid(combos, features, settings, 2)
+    # A row per combination and fold, and one for the tree of all rows.
+    assert sizes[0] == combos.count() * 3
+    monkeypatch.setattr(storage.Stages, "write", write)
+    rest = each.withColumn("rest", F.col("weight") - F.col("fold_1"))
+    alone = [
+        listed(ml.grow_trees(rest, features, weight="rest", max_depth=3, min_leaf=leaf, held="fold_1"))
+        for leaf in settings["min_leaf"]
+    ]
+    for leaf, tree in zip(settings["min_leaf"], alone):
+        assert listed(grown.filter((F.col("held_fold") == 1) & (F.col("min_leaf") == leaf))) == tree
+    whole = ml.grow_trees(each, features, max_depth=2, min_leaf=1)
+    assert listed(tree_of_grid(grown, 2, 1)) == listed(whole)
+    # The smallest leaf does matter here.
+    assert alone[0] != alone[1]
+    long = ml.compress(ml.folds_by_hash(df, "id", 2), [*features, "label", "fold"])
+    want, got = (
+        {(r.max_depth, r.min_leaf): r.accuracy for r in x.collect()}
+        for x in (grid_accuracy(long, features, settings, 2), accuracy_of_grid(grown, settings))
+    )
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == 4
+
+
 def test_rows_of_nodes_that_cannot_split_are_not_written_again(table, monkeypatch):
     from blotter import storage
 
